@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import chat, mixing, url_filter
 
 QUERIES = {
+    "op2_url_filter": url_filter.op2_url_filter,
     "op6_source_mix": mixing.op6_source_mix,
+    "op10_chat_format": chat.op10_chat_format,
 }
 
 SQL = {
+    "op2_url_filter": url_filter.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
+    "op10_chat_format": chat.OP10_SQL,
 }
