@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, url_filter
+from . import chat, mixing, simhash, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
+    "op3_simhash": simhash.op3_simhash,
     "op6_source_mix": mixing.op6_source_mix,
     "op10_chat_format": chat.op10_chat_format,
 }
