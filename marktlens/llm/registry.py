@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, simhash, url_filter
+from . import chat, mixing, simhash, url_filter, warc
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash": simhash.op3_simhash,
     "op6_source_mix": mixing.op6_source_mix,
+    "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_chat_format": chat.op10_chat_format,
 }
 
 SQL = {
     "op2_url_filter": url_filter.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
+    "op9_warc_bundles": warc.OP9_SQL,
     "op10_chat_format": chat.OP10_SQL,
 }
