@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, fertility, mixing, simhash, url_filter, warc
+from . import chat, fertility, language_id, mixing, simhash, url_filter, warc
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash": simhash.op3_simhash,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_quality_rules": fertility.op7_quality_rules,
+    "op8_language_id": language_id.op8_language_id,
     "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_chat_format": chat.op10_chat_format,
 }
