@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, fertility, language_id, mixing, simhash, url_filter, warc
+from . import chat, fertility, language_id, line_dedup, mixing, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash": simhash.op3_simhash,
     "op6_source_mix": mixing.op6_source_mix,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
     "op2_url_filter": url_filter.OP2_SQL,
     "op6_source_mix": mixing.OP6_SQL,
     "op9_warc_bundles": warc.OP9_SQL,
