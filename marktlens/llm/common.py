@@ -64,6 +64,7 @@ def free(*frames: DataFrame) -> None:
         drop_path(df.sparkSession, df.kept_at)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's bytes: file sizes for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def join_small(left: DataFrame, right: DataFrame, key: str, how: str, most_bytes: int = 64 << 20, row_bytes: int = 16) -> DataFrame:
+    """Join a side of few and short rows: broadcast if its counted size allows, else by shuffle."""
+    small = right.count() * row_bytes <= most_bytes
+    return left.join(F.broadcast(right) if small else right, key, how)
