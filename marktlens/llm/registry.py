@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, cross_entropy, fertility, language_id, line_dedup, mixing, simhash, url_filter, warc
+from . import chat, cross_entropy, decontaminate, fertility, language_id, line_dedup, mixing, simhash, url_filter, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_simhash": simhash.op3_simhash,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_lm_scores": cross_entropy.op5_lm_scores,
     "op6_source_mix": mixing.op6_source_mix,
     "op7_quality_rules": fertility.op7_quality_rules,
