@@ -1,11 +1,89 @@
-"""A corpus pipeline of five training-data stages over ``documents``."""
+"""A corpus pipeline of five training-data stages over ``documents``.
+
+Each stage takes what its predecessor kept and calls one operator of
+marktlens.llm with its production parameters; all but the last return the
+columns of documents. Rows to drop are found as short keys and removed by an
+anti join, whose key side is broadcast only if its counted size allows.
+Texts that line dedup empties share a fingerprint, so near-dedup keeps one of
+them. Equal rows are judged alike; near-dedup keeps one row of each group.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marktlens.llm.common import join_small, materialise, table
+from marktlens.llm.decontaminate import find_leaks
+from marktlens.llm.language_id import identify
+from marktlens.llm.line_dedup import dedup_lines
+from marktlens.llm.mixing import mix_sources
+from marktlens.llm.simhash import near_duplicates
+
+
+def row_key() -> Column:
+    """A key of a row's id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """docs less the rows whose key is in gone (one column __key)."""
+    return join_small(docs.withColumn("__key", key), gone.distinct(), "__key", "left_anti").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; the stated language is evidence, and the source is the host."""
+    judged = identify(docs.withColumn("__key", row_key()), id_col="__key", declared=F.col("lang"), host=F.col("source"))
+    gone = materialise(judged.where("not kept").select("__key"), "stage-language")
+    return without(docs, gone, row_key())
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines of later copies of repeated runs; n_chars follows the text."""
+    out = dedup_lines(docs)
+    return out.withColumn("n_chars", F.when(F.col("__deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that of the smallest id."""
+    number = F.coalesce(F.col("doc_id"), row_key())
+    found = materialise(near_duplicates(docs.withColumn("__number", number), id_col="__number"), "stage-near")
+    gone = materialise(found.where("__number <> component").select(F.col("__number").alias("__key")), "stage-near-gone")
+    left = without(docs, gone, number)
+    #: Rows that share an id: one of them stays.
+    often = materialise(found.groupBy(F.col("__number").alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key"), "stage-near-often")
+    once = without(left, often, number)
+    repeated = join_small(left.withColumn("__key", number), often, "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(repeated.select(*docs.columns))
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = find_leaks(docs.withColumn("__key", row_key()), table(spark, sf_dir, "benchmark"), id_col="__key")
+    gone = materialise(found.where(F.size("matches") > 0).select("__key"), "stage-benchmark")
+    return without(docs, gone, row_key())
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix itself: a row for each copy that it takes of a document, numbered from 1."""
+    taken = mix_sources(docs, carry=True).where("copies > 0")
+    return taken.select("row.*", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", near_duplicate_stage),
+    ("decontaminate", benchmark_stage),
+    ("source_mix", mixing_stage),
+]
+#: Several stages have no SQL form; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -68,12 +68,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     )
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:") -> DataFrame:
-    """(id_col, source, size, source_size, target, copies) for every row of docs; copies may be 0."""
-    sizes = materialise(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), random_bits(F.col(id_col), seed).alias("u")),
-        "mix-sizes",
-    )
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeat: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix:", carry: bool = False) -> DataFrame:
+    """(id_col, source, size, source_size, target, copies) for every row of docs; copies may be 0.
+
+    carry: return (row, copies) instead, row being a struct of all of docs' columns.
+    """
+    drawn = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), random_bits(F.col(id_col), seed).alias("u")]
+    sizes = materialise(docs.select(*drawn), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, max_repeat), "mix-targets")
 
     cell = F.shiftright("u", BITS - CELL_BITS)
@@ -102,9 +103,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     gap = F.abs(F.col("size") - F.col("missing"))
     closing = ranked.where(~in_head & (F.col("size") > 0) & (gap < F.col("missing"))).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "rank")).alias("closing"))
     facts = facts.join(closing.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    ranked = with_source(sizes, materialise(facts, "mix-closing")).withColumn("rank", rank)
+    facts = materialise(facts, "mix-closing")
+    rows = docs.select(*drawn, F.struct(*docs.columns).alias("row")) if carry else sizes
+    ranked = with_source(rows, facts).withColumn("rank", rank)
     one_more = (in_head | F.coalesce(F.col("rank") == F.col("closing.rank"), F.lit(False))) & (F.col("extra_words") > 0)
-    return ranked.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("copies") + one_more.cast("long")).alias("copies"))
+    copies = (F.col("copies") + one_more.cast("long")).alias("copies")
+    if carry:
+        return ranked.select("row", copies)
+    return ranked.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
