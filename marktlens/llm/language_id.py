@@ -93,11 +93,12 @@ def score_texts(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), text, pa.array(sizes)], names=[*(batch.schema.names[i] for i in keep), "text_ll", "n_grams"])
 
 
-def softmax(logs: list[Column]) -> list[Column]:
-    top = reduce(F.greatest, logs) if len(logs) > 1 else logs[0]
-    raised = [F.exp(x - top) for x in logs]
-    whole = reduce(add, raised)
-    return [x / whole for x in raised]
+def with_softmax(rows: DataFrame, logs: Column, name: str) -> DataFrame:
+    """rows with an array column of the normalised exponentials of an array of logs."""
+    rows = rows.withColumn("__logs", logs)
+    rows = rows.withColumn("__raised", F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))))
+    whole = F.aggregate("__raised", F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn(name, F.transform("__raised", lambda x: x / whole)).drop("__logs", "__raised")
 
 
 def markup_language(html: Column) -> Column:
@@ -131,10 +132,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"), F.lower(declared if declared is not None else none).alias("declared"), host.alias("host"))
     kind = docs.schema[id_col].dataType.simpleString()
     scored = rows.mapInArrow(partial(score_texts, held=held), f"id {kind}, declared string, host string, text_ll array<double>, n_grams long")
-    text = softmax([F.col("text_ll")[i] * text_weight for i in range(n)])
+    scored = with_softmax(scored, F.transform("text_ll", lambda x: x * text_weight), "text_p")
     #: Evidence needs a language that fits better than an even spread.
     speaks = (F.col("n_grams") > 0) & (F.array_max("text_ll") > 0)
-    scored = materialise(scored.withColumn("p", F.when(speaks, F.array(*text))), "lid-text").withColumns({"suffix": suffix_of(F.col("host")), "parent": parent_of(F.col("host"))})
+    scored = materialise(scored.withColumn("p", F.when(speaks, F.col("text_p"))).drop("text_p"), "lid-text").withColumns({"suffix": suffix_of(F.col("host")), "parent": parent_of(F.col("host"))})
 
     sums = [F.sum(F.coalesce(F.col("p")[i], F.lit(0.0))).alias(f"s{i}") for i in range(n)]
     everywhere = scored.agg(*sums).first()
@@ -162,14 +163,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     hosts = hosts.select("host", F.array(*[F.log(x) for x in smoothed(hosts, above)]).alias("host_ll"))
     fused = scored.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
 
-    logs = []
-    for i in range(n):
-        log = F.coalesce(F.col("host_ll")[i], F.lit(float(np.log(base[i]))))
-        for part in ("declared_ll", "suffix_ll"):
-            log = log + F.coalesce(F.col(part)[i], F.lit(0.0))
-        logs.append(log + F.when(F.col("p").isNotNull(), F.col("text_ll")[i] * text_weight).otherwise(0.0))
-    fused = fused.withColumn("posteriors", F.array(*softmax(logs)))
-    best = F.array_max("posteriors")
+    neutral = F.array_repeat(F.lit(0.0), n)
+    together = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
+    logs = F.coalesce("host_ll", F.array(*[F.lit(float(np.log(x))) for x in base]))
+    for part in ("declared_ll", "suffix_ll"):
+        logs = together(logs, F.coalesce(part, neutral))
+    logs = together(logs, F.when(F.col("p").isNotNull(), F.transform("text_ll", lambda x: x * text_weight)).otherwise(neutral))
+    fused = with_softmax(fused, logs, "posteriors")
+    fused = fused.withColumn("best", F.array_max("posteriors"))
+    best = F.col("best")
     found = F.element_at(F.array(*map(F.lit, languages)), F.array_position("posteriors", best).cast("int"))
     speaks = F.col("p").isNotNull()
     wanted_ok = found.isin(*(wanted or languages))
