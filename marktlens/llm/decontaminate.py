@@ -7,13 +7,14 @@
    frequencies over all passages of ``window`` words give TF-IDF weights;
    terms in more than ``stop_share`` of the passages weigh nothing.
 3. A distributed randomised SVD of the TF-IDF passages of corpus and
-   benchmark (Halko et al. 2011: two products with A'A, each a sum of one
-   matrix over all tasks) gives the latent space. A benchmark row weighs as
-   much as all passages together, so with more dimensions than parts the
-   space keeps each part's own direction.
+   benchmark (one product of A'A with a random matrix, summed over all tasks,
+   and the Nyström form of Halko et al. 2011) gives the latent space. A
+   benchmark row weighs as much as all passages together, so with more
+   dimensions than parts the space keeps each part's own direction.
 4. Every window of every text, ``step`` words apart, is projected (sums of
    its terms' latent vectors) and held against all parts; candidates reach
-   ``min_cosine`` and hold ``min_weight`` of the part's weight.
+   ``min_cosine`` and hold ``min_weight`` of the part's weight. A window
+   whose terms' lengths cannot add up to that for any part is left out.
 5. A candidate's surroundings and the part are compared by their longest
    common subsequence: a share of ``sure`` is contamination, one of
    ``likely`` is if the part's answer, its last ``answer_words`` words, is
@@ -96,18 +97,18 @@ def gram_times(batches: Iterator[pa.RecordBatch], held, window: int) -> Iterator
     weights, x = held.value
     out = np.zeros(x.shape, dtype=np.float64)
     scaled = (weights[:, None] * x).astype(np.float32)
-    for ids, at in chunks(batches, window, 1 << 16):
+    for ids, at in chunks(batches, window, 1 << 17):
         use = weights[ids] > 0
         ids, at = ids[use], at[use]
         if not len(ids):
             continue
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        y = np.add.reduceat(scaled[ids], starts, axis=0)
-        row = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(ids)]))
+        edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True])
+        y = np.diff(running(scaled[ids])[edges], axis=0).astype(np.float32)
+        row = np.repeat(np.arange(len(y)), np.diff(edges))
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        out[ids[first]] += np.add.reduceat(y[row[order]], first, axis=0)
+        edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        out[ids[edges[:-1]]] += np.diff(running(y[row[order]])[edges], axis=0)
     out *= weights[:, None]
     pieces = np.array_split(out.astype(np.float32), SLICES)
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["slice", "sum"])
@@ -136,13 +137,15 @@ def product(ids: DataFrame, weights: np.ndarray, x: np.ndarray, window: int) ->
 def latent_space(ids: DataFrame, weights: np.ndarray, parts: np.ndarray, passages: int, window: int, extra: int, seed: int = 7) -> np.ndarray:
     """Terms by rank: the leading right singular vectors of the TF-IDF passages of corpus and benchmark."""
     rank = min(len(weights), len(parts) + extra)
-    wide = min(len(weights), rank + 8)
-    heavy = lambda x: max(passages, 1) * (parts.T @ (parts @ x))
-    x = np.random.default_rng(seed).standard_normal((len(weights), wide))
-    basis, _ = np.linalg.qr(product(ids, weights, x, window) + heavy(x))
-    image = product(ids, weights, basis, window) + heavy(basis)
-    values, turn = np.linalg.eigh((basis.T @ image + image.T @ basis) / 2)
-    return basis @ turn[:, np.argsort(values)[::-1][:rank]]
+    x, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(weights), min(len(weights), rank + 8))))
+    image = product(ids, weights, x, window) + max(passages, 1) * (parts.T @ (parts @ x))
+    #: With A'A = G: G ~ Y (X'Y)^-1 Y' for Y = G X, the last factor by its own eigenvectors.
+    shift = 1e-6 * np.linalg.norm(image)
+    image = image + shift * x
+    values, turn = np.linalg.eigh((x.T @ image + image.T @ x) / 2)
+    good = values > shift / 10
+    vectors, _, _ = np.linalg.svd(image @ (turn[:, good] / np.sqrt(values[good])), full_matrices=False)
+    return vectors[:, :rank]
 
 
 def lcs(region: np.ndarray, masks: dict[int, int], size: int) -> int:
@@ -162,62 +165,82 @@ def masks_of(part: np.ndarray) -> dict[int, int]:
     return out
 
 
+class Windows:
+    """The windows of a batch of texts that may hold a part: where they begin and which weighted terms they span.
+
+    Texts stand behind each other, each from a whole piece of step words on
+    and a window's length from the next, so no window spans two.
+    """
+
+    def __init__(self, texts: list[np.ndarray], lengths: np.ndarray, weights: np.ndarray, window: int, step: int, least: float) -> None:
+        blocks = window // step
+        self.base = np.cumsum([0, *(-(-len(t) // step) + blocks for t in texts)])
+        at = [np.flatnonzero(weights[t] > 0) for t in texts]
+        self.terms = np.concatenate([t[a] for t, a in zip(texts, at, strict=True)] or [np.zeros(0, np.uint16)])
+        piece = np.concatenate([a // step + b for a, b in zip(at, self.base, strict=False)] or [np.zeros(0, np.int64)])
+        used = np.unique(piece)
+        heads = np.unique((used[:, None] - np.arange(blocks)).ravel())
+        low, high = np.searchsorted(piece, heads), np.searchsorted(piece, heads + blocks)
+        total = np.r_[0.0, np.cumsum(lengths[self.terms])]
+        #: Not before its text's first word, two terms or more, and enough length for some part.
+        begins = self.base[np.searchsorted(self.base, piece[low], side="right") - 1]
+        keep = (heads >= begins) & (high - low > 1) & (total[high] - total[low] >= least)
+        self.heads, self.low, self.high = heads[keep], low[keep], high[keep]
+
+
+def running(rows: np.ndarray) -> np.ndarray:
+    """Running totals of rows, from zero."""
+    out = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, out=out[1:])
+    return out
+
+
 def search(batches: Iterator[pa.RecordBatch], held, o: dict) -> Iterator[pa.RecordBatch]:
-    """(id, matches) of every row: which parts its text holds, where, and how surely."""
+    """(id, row, matches) of every row: which parts its text holds, where, and how surely."""
     weights, space, parts, latent, items = held.value
-    unit, norms = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12), np.linalg.norm(latent, axis=1)
-    norms = np.where(norms > 0, norms, np.inf)
     vectors = (weights[:, None] * space).astype(np.float32)
-    unit, least = unit.T.astype(np.float32), (o["min_weight"] * norms).astype(np.float32)
+    lengths = np.linalg.norm(vectors, axis=1)
+    norms = np.linalg.norm(latent, axis=1)
+    some = norms > 0
+    unit = np.where(some[:, None], latent / np.where(some, norms, 1)[:, None], 0)
+    likeness = (vectors @ unit.T).astype(np.float32)  # of each term to each part
+    least = np.where(some, o["min_weight"] * norms, np.inf)
     masks = [masks_of(p) for p in parts]
     answers = [masks_of(p[-o["answer_words"] :]) for p in parts]
     window, step = o["window"], o["step"]
-    blocks = window // step
     names = ["item", "start", "words", "cosine", "share", "answer"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.bool_()]
 
-    def matches(ids: np.ndarray) -> list[tuple]:
-        at = np.flatnonzero(weights[ids] > 0)
-        if len(at) < 2:
-            return []
-        #: Sums of step-long pieces, then of the window's pieces; only windows with two weighted terms.
-        piece = at // step
-        starts = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
-        used = piece[starts]
-        many = np.diff(np.r_[starts, len(at)])
-        heads = np.unique((used[:, None] - np.arange(blocks)).ravel())
-        heads = heads[heads >= 0] if len(heads) else heads
-        spot = {p: i for i, p in enumerate(used.tolist())}
-        members = [[spot[p] for p in range(h, h + blocks) if p in spot] for h in heads.tolist()]
-        kept = [(h, m) for h, m in zip(heads.tolist(), members, strict=True) if sum(many[m]) > 1]
-        found: dict[int, tuple] = {}
-        for begin in range(0, len(kept), 2048):
-            some = kept[begin : begin + 2048]
-            low, high = some[0][1][0], max(m[-1] for _, m in some)
-            tokens = at[starts[low] : starts[high + 1] if high + 1 < len(starts) else len(at)]
-            sums = np.add.reduceat(vectors[ids[tokens]], starts[low : high + 1] - starts[low], axis=0)
-            flat = np.concatenate([np.array(m) for _, m in some]) - low
-            x = np.add.reduceat(sums[flat], np.cumsum([0, *(len(m) for _, m in some[:-1])]), axis=0)
-            inner = x @ unit
-            size = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            for w, q in zip(*np.nonzero((inner >= o["min_cosine"] * size) & (inner >= least)), strict=True):
-                head, part = some[w][0], parts[q]
-                begin_at = max(0, head * step - step)
-                region = ids[begin_at : head * step + window + step]
-                share = lcs(region, masks[q], len(part)) / len(part)
-                tail = min(o["answer_words"], len(part))
-                answer = share >= o["likely"] and 2 * lcs(region, answers[q], tail) >= tail
-                if share >= o["sure"] or (share >= o["likely"] and answer):
-                    new = (int(items[q]), begin_at, len(region), float(inner[w, q] / size[w, 0]), share, answer)
-                    if int(q) not in found or new[4] > found[int(q)][4]:
-                        found[int(q)] = new
-        return list(found.values())
+    def judged(text: np.ndarray, piece: int, q: int, cosine: float) -> tuple | None:
+        part = parts[q]
+        begin = max(0, (piece - 1) * step)
+        region = text[begin : piece * step + window + step]
+        share = lcs(region, masks[q], len(part)) / len(part)
+        if share < o["likely"]:
+            return None
+        tail = min(o["answer_words"], len(part))
+        answer = 2 * lcs(region, answers[q], tail) >= tail
+        return (int(items[q]), begin, len(region), cosine, share, answer) if answer or share >= o["sure"] else None
 
     for batch in batches:
-        each = [matches(np.frombuffer(raw.as_py(), np.uint16)) for raw in batch["ids"]]
-        flat = [m for ms in each for m in ms]
+        texts = [np.frombuffer(raw.as_py(), np.uint16) for raw in batch["ids"]]
+        found: list[dict[int, tuple]] = [{} for _ in texts]
+        every = Windows(texts, lengths, weights, window, step, float(least.min()))
+        for begin in range(0, len(every.heads), 4096):
+            low, high = every.low[begin : begin + 4096], every.high[begin : begin + 4096]
+            totals = running(likeness[every.terms[low[0] : high.max()]])
+            inner = totals[high - low[0]] - totals[low - low[0]]
+            for w, q in zip(*np.nonzero(inner >= least), strict=True):
+                size = float(np.linalg.norm(vectors[every.terms[low[w] : high[w]]].sum(axis=0)))
+                if inner[w, q] >= o["min_cosine"] * size:
+                    head = every.heads[begin + w]
+                    doc = int(np.searchsorted(every.base, head, side="right")) - 1
+                    new = judged(texts[doc], int(head - every.base[doc]), int(q), float(inner[w, q] / max(size, 1e-12)))
+                    if new and (q not in found[doc] or new[4] > found[doc][q][4]):
+                        found[doc][q] = new
+        flat = [m for each in found for m in each.values()]
         fields = [pa.array([m[i] for m in flat], k) for i, k in enumerate(kinds)]
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, each)]), pa.int32()), pa.StructArray.from_arrays(fields, names))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.StructArray.from_arrays(fields, names))
         yield pa.RecordBatch.from_arrays([batch["id"], batch["row"], lists], ["id", "row", "matches"])
 
 
