@@ -105,7 +105,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = runs.select(*KEY, "seq", "lines", F.col("a")[F.col("level")].alias("a"), F.col("b")[F.col("level")].alias("b")).where("a is not null and b is not null")
     runs = materialise(runs, "lines-runs")
     place = F.struct(*KEY, "seq")
-    intervals = runs.groupBy("a", "b", "lines").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    intervals = materialise(runs.groupBy("a", "b", "lines").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"), "lines-intervals")
     copies = runs.join(intervals, ["a", "b", "lines"]).where(place != F.col("first"))
     gone = copies.groupBy(*KEY).agg(F.collect_set(F.struct("seq", "lines")).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["seq"], r["seq"] + r["lines"] - 1))))
@@ -115,7 +115,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """docs with the lines of later copies deleted from the text, and __deleted, their number."""
     gone = later_copies(docs, id_col, text_col, min_words)
-    rows = docs.withColumn("__key", F.xxhash64(text_col)).alias("d").join(gone.alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.__doc")) & (F.col("d.__key") == F.col("g.__th")), "left")
+    #: A merge join at any size: what is deleted grows with the corpus, so it is never broadcast.
+    rows = docs.withColumn("__key", F.xxhash64(text_col)).alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.__doc")) & (F.col("d.__key") == F.col("g.__th")), "left")
     text = F.col(f"d.{text_col}")
     numbers = F.transform(worded_lines(text), lambda s: s["i"])
     dead = F.transform("g.gone", lambda s: F.get(numbers, s))
