@@ -23,6 +23,8 @@ by pre-aggregated groups, and joined back (adaptive execution splits the
 joins of very common lines). What one document's windows hold is its own
 lines.
 
+A run may overlap its first occurrence: a line repeated over and over stays once.
+
 Defined results: null and empty texts stay as they are, as does a text of
 which nothing is deleted; a text of which no line with a word is left becomes
 empty; repeated rows (equal id and text) are one document and get equal
@@ -38,7 +40,13 @@ from pyspark.sql import functions as F
 
 from .common import WORD, free, materialise, n_words, table
 
-KEY = ["__doc", "__th"]
+KEY = ["__given", "__doc", "__th"]
+
+
+def key_columns(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """A document's key without nulls; rows without an id come first."""
+    x = F.col(id_col)
+    return [x.isNotNull().alias(KEY[0]), F.coalesce(x, F.lit(0).cast(docs.schema[id_col].dataType)).alias(KEY[1]), F.xxhash64(text_col).alias(KEY[2])]
 
 
 def worded_lines(text: Column) -> Column:
@@ -54,13 +62,13 @@ def ranked(keys: DataFrame, *cols: str) -> DataFrame:
 
 
 def repeated_positions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, th, seq, forward, backward, r0) of the repeated lines.
+    """(KEY, seq, forward, backward, r0) of the repeated lines.
 
     seq counts a document's worded lines. forward / backward: the number of
     lines of the shortest run of min_words words from / up to this line,
     inside a segment of repeated lines; null if the segment is too short.
     """
-    rows = docs.select(F.col(id_col).alias(KEY[0]), F.xxhash64(text_col).alias(KEY[1]), F.posexplode(worded_lines(F.col(text_col))).alias("seq", "s"))
+    rows = docs.select(*key_columns(docs, id_col, text_col), F.posexplode(worded_lines(F.col(text_col))).alias("seq", "s"))
     rows = rows.select(*KEY, "seq", F.unhex(F.md5("s.line")).alias("line"), n_words(F.col("s.line")).alias("w"))
     rows = materialise(rows.repartition(*KEY).dropDuplicates([*KEY, "seq"]), "lines")
     common = ranked(rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "line")
@@ -87,7 +95,7 @@ def doubled(rows: DataFrame, level: int) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """(__doc, __th, gone): the worded lines, by number, of each document that later copies of repeated runs cover."""
+    """(KEY, gone): the worded lines, by number, of each document that later copies of repeated runs cover."""
     rows = repeated_positions(docs, id_col, text_col, min_words)
     longest = rows.agg(F.max(F.greatest("forward", "backward"))).first()[0] or 1
     levels = longest.bit_length()
@@ -116,7 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the lines of later copies deleted from the text, and __deleted, their number."""
     gone = later_copies(docs, id_col, text_col, min_words)
     #: A merge join at any size: what is deleted grows with the corpus, so it is never broadcast.
-    rows = docs.withColumn("__key", F.xxhash64(text_col)).alias("d").join(gone.hint("merge").alias("g"), F.col(f"d.{id_col}").eqNullSafe(F.col("g.__doc")) & (F.col("d.__key") == F.col("g.__th")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("d"), *key_columns(docs, id_col, text_col)).join(gone.hint("merge").alias("g"), KEY, "left")
     text = F.col(f"d.{text_col}")
     numbers = F.transform(worded_lines(text), lambda s: s["i"])
     dead = F.transform("g.gone", lambda s: F.get(numbers, s))
