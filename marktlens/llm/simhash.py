@@ -120,6 +120,7 @@ def within(p: np.ndarray, t: int) -> float:
 def allocate(n: int, together: np.ndarray, k: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each part, at the least estimated cost over all numbers of parts."""
     p = np.diag(together) / max(n, 1)
+    n = max(n, 1)  # an empty table too needs a plan of few signatures
     best = (math.inf, [])
     for m in range(1, k + 2):
         groups, total = group_bits(n, together, m), k - m + 1
