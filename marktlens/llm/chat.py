@@ -12,7 +12,7 @@ matches each head, and removes the escapes. A conversation is first rendered
 as it is; if what the parser recovers is not identical to the source (or
 breaks the grammar), it is rendered again at the next level of escapes,
 until it is identical: 1 escapes control strings and "\", 2 escapes every
-"\", "#", "<" and ":". Both later levels are inverted by the same parser.
+"\", "#", "<", "/" and ":". Both later levels are inverted by the same parser.
 
 A conversation is the unit of output, so its turns are gathered in one row;
 nothing larger is. Defined results: null texts and roles are empty strings;
@@ -39,7 +39,7 @@ def escaped(x: Column, level: int, in_role: bool) -> Column:
     if level == 0:
         return x
     if level == 2:
-        return F.regexp_replace(x, r"([\\#<:])", r"\\$1")
+        return F.regexp_replace(x, r"([\\#<:/])", r"\\$1")
     x = F.replace(x, F.lit("\\"), F.lit("\\\\"))
     x = F.replace(x, F.lit(END), F.lit("<\\/turn>"))
     x = F.regexp_replace(x, "#(?=##)", r"\\#")
