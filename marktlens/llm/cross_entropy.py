@@ -119,9 +119,11 @@ def pack(batches: Iterator[pa.RecordBatch], held, buckets: int, chunk_tokens: in
     rows, ids, good, tokens = [], [], [], 0
 
     def out() -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
         sizes = [len(r) for r in rows]
         doc = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
-        word = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        word = np.concatenate(rows)
         history = np.r_[np.int64(START), word[:-1]] if len(word) else word
         starts = np.cumsum([0, *sizes[:-1]])
         history[[s for s, n in zip(starts, sizes, strict=True) if n]] = START
