@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
         .withColumn("to_share", F.col("total") - F.sum(F.when(F.col("capped"), cap).otherwise(0)).over(whole))
         .withColumn("by_weight", F.sum(F.when(F.col("capped"), 0).otherwise(F.col("weight"))).over(whole))
     )
-    shared = (F.col("weight") * F.col("to_share")).cast("double") / F.col("by_weight")
+    shared = F.try_divide((F.col("weight") * F.col("to_share")).cast("double"), F.col("by_weight"))
     return (
         each.withColumn("target", F.when(F.col("capped"), cap.cast("double")).otherwise(shared))
         .withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
         return df.alias("d").join(facts.withColumnRenamed("source", "of").alias("f"), F.col("d.source").eqNullSafe(F.col("f.of"))).drop("of")
 
     #: The rank of a row; within a source p is one number, so random odds over inclusion odds rise with u.
-    odds = (F.col("u") / (F.lit(float(2**BITS)) - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
+    odds = F.try_divide(F.col("u") / (F.lit(float(2**BITS)) - F.col("u")), F.try_divide(F.col("p"), 1 - F.col("p")))
     rank = F.struct(odds.alias("odds"), "u", "id", "size")
     ranked = with_source(sizes, targets).withColumn("side", F.when(F.col("cell").isNull() | (cell < F.col("cell")), -1).when(cell == F.col("cell"), 0).otherwise(1)).withColumn("rank", rank)
     inside = ranked.where("side = 0").withColumn("through", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank")))
