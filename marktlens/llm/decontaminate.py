@@ -97,7 +97,7 @@ def gram_times(batches: Iterator[pa.RecordBatch], held, window: int) -> Iterator
     weights, x = held.value
     out = np.zeros(x.shape, dtype=np.float64)
     scaled = (weights[:, None] * x).astype(np.float32)
-    for ids, at in chunks(batches, window, 1 << 17):
+    for ids, at in chunks(batches, window, 1 << 14):
         use = weights[ids] > 0
         ids, at = ids[use], at[use]
         if not len(ids):
