@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from ..functions import text as names
 from ..functions import urls
 from ..operators import brands as brand_ops
 from ..operators import detect, history, matching, matrix, scans, store
+from ..session import shared_folder
 from ..sources import files
 from ..streaming import flows
 from . import domain as d
@@ -65,13 +65,12 @@ def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same history from a stream of the events, with keyed state."""
-    at = Path(tempfile.mkdtemp(prefix="marktlens-"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{at}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     seen = rows.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("key"), F.floor(F.col("value") / 50).cast("double").alias("price"), F.lit("").alias("currency"), F.col("ts").alias("created"), F.col("event_id").alias("id"))
-    out, state = f"{base}/{at.name}/out", f"{base}/{at.name}/state"
+    out, state = f"{base}/out", f"{base}/state"
     flows.run_available(flows.price_changes(seen), out, state)
     return spark.read.schema(flows.CHANGE).parquet(out).select(F.col("key").alias("provider_product_id"), "price", "created", "id")
 
