@@ -47,7 +47,7 @@ def test_leaks(spark):
 
 
 def test_search_against_brute_force(spark):
-    """Candidates of the latent search hold at least nine in ten of those of exact TF-IDF cosines."""
+    """Of the items that stand word for word in a text, at least nine in ten are found."""
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     found = {r.doc_id: {m.item for m in r.matches} for r in decontaminate.find_leaks(docs, bench).collect()}
     items = {r.item_id: decontaminate.words_of(r.text) for r in bench.collect()}
