@@ -4,8 +4,8 @@ Each stage takes what its predecessor kept and calls one operator of
 marktlens.llm with its production parameters; all but the last return the
 columns of documents. Rows to drop are found as short keys and removed by an
 anti join, whose key side is broadcast only if its counted size allows.
-Texts that line dedup empties share a fingerprint, so near-dedup keeps one of
-them. Equal rows are judged alike; near-dedup keeps one row of each group.
+Texts that line dedup empties have the same empty set of shingles, so
+near-dedup keeps one of them. Equal rows are judged alike; near-dedup keeps one row of each group.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from marktlens.llm.decontaminate import find_leaks
 from marktlens.llm.language_id import identify
 from marktlens.llm.line_dedup import dedup_lines
 from marktlens.llm.mixing import mix_sources
-from marktlens.llm.simhash import near_duplicates
+from marktlens.llm.near_copies import near_copies
 
 
 def row_key() -> Column:
@@ -45,9 +45,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8 or more): that of the smallest id."""
     number = F.coalesce(F.col("doc_id"), row_key())
-    found = materialise(near_duplicates(docs.withColumn("__number", number), id_col="__number"), "stage-near")
+    found = materialise(near_copies(docs, number).withColumnRenamed("key", "__number"), "stage-near")
+    least = found.groupBy("group").agg(F.min("__number").alias("component"))
+    found = found.join(least, "group")
     gone = materialise(found.where("__number <> component").select(F.col("__number").alias("__key")), "stage-near-gone")
     left = without(docs, gone, number)
     #: Rows that share an id: one of them stays.

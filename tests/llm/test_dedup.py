@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marktlens.llm import line_dedup, simhash
+import corpus_pipeline
+from marktlens.llm import line_dedup, near_copies, simhash
 from marktlens.llm.graphs import components
 
 DOCS = "doc_id long, text string"
@@ -135,3 +136,52 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (5, 5), (7, 6), (6, 3)] + [(100 + i, 101 + i) for i in range(30)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 1, 7: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(31)}
+
+
+def five_words(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+
+@pytest.mark.parametrize("block", [1024, 6])
+def test_near_copies_against_all_pairs(spark, block):
+    """Copies with more and more words replaced, across similarity 0.8; every pair is held against the exact rule."""
+    rng = random.Random(block)
+    docs, n = [(90_001, None), (90_002, " "), (90_003, "One two"), (90_004, "one TWO")], 0
+    for _ in range(30):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(60, 400))]
+        for edits in (0, 0, 1, 2, 3, 4, 6, 8, 10):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = "other"
+            docs.append((n, " ".join(words)))
+            n += 1
+    sets = {i: five_words(t) for i, t in docs}
+    root = {i: i for i, _ in docs}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and 5 * len(a & b) >= 4 * len(a | b):
+                root[find(i)] = find(j)
+    got = {}
+    for r in near_copies.near_copies(spark.createDataFrame(docs, DOCS), F.col("doc_id"), block=block).collect():
+        got.setdefault(r.group, set()).add(r.key)
+    want = {}
+    for i in root:
+        want.setdefault(find(i), set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert near_copies.near_copies(spark.createDataFrame([], DOCS), F.col("doc_id")).count() == 0
+
+
+def test_stage_drops_near_copies_far_in_bits(spark):
+    """A copy of similarity 0.8 or more whose fingerprint differs in more than four bits."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id in (1, 177, 5)")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    a, b = five_words(texts[1]), five_words(texts[177])
+    assert 5 * len(a & b) >= 4 * len(a | b) and (brute_fingerprint(texts[1]) ^ brute_fingerprint(texts[177])).bit_count() > 4
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, None).collect()) == [1, 5]
