@@ -5,11 +5,15 @@ documents) are matched: bigram models of the same form, smoothing and
 vocabulary. A document's score is the mean over its tokens of
 log p_target - log p_background, so higher is more like the target.
 
-Vocabulary: words with at least a share ``min_share`` of all tokens of the
-corpus, so at most 1 / min_share words at any size (the one thing that is
-broadcast); all others are the unknown word. With the unigram shares u and
-weight ``mu``: p(w | h) = (c(h, w) + mu u(w)) / (c(h) + mu), u(w) =
-(c(w) + 1) / (N + V).
+Vocabulary: every word of the corpus. With the unigram shares u and weight
+``mu``: p(w | h) = (c(h, w) + mu u(w)) / (c(h) + mu), u(w) = (c(w) + 1) /
+(N + V), where V counts the words and one unknown. Words with at least a
+share ``common_share`` of all tokens, so at most 1 / common_share of them at
+any size, have their counts broadcast, and their bigrams are dealt to buckets
+one by one. Every other word has all its bigrams in one bucket, which counts
+the word there; what it contributes as a history is summed there as well,
+since each of its tokens but a text's last is one. Only a caller that sets
+``min_share`` has the words below that share taken as the unknown word.
 
 Bigram counts are exact and never gathered: a task packs its documents'
 bigrams by hash into buckets (repeats within a document as one entry with a
@@ -43,7 +47,8 @@ from .common import free, join_small, materialise, table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 START, UNKNOWN = 0, 1
-ID_BITS = 24
+#: Words are ids (common ones) or hashes with this bit set.
+HASHED = np.uint64(1 << 63)
 
 
 class Words(dict):
@@ -87,22 +92,23 @@ def count_words(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterato
 
 
 class Vocabulary:
-    """Sorted word hashes with their counts; ids follow that order from 2."""
+    """Sorted hashes of common words with their counts; ids follow that order from 2."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, good: np.ndarray, totals: tuple[int, int]) -> None:
+    def __init__(self, words: np.ndarray, n: np.ndarray, good: np.ndarray, totals: tuple[int, int], size: int, cut: bool) -> None:
         order = np.argsort(words)
-        self.words = words[order]
-        rest = [totals[0] - n.sum(), totals[1] - good.sum()]
+        self.words, self.cut = words[order], cut
+        rest = [totals[0] - n.sum(), totals[1] - good.sum()] if cut else [0, 0]
         #: Counts by id: the start (never predicted), the unknown word, the words.
         self.counts = np.stack([np.r_[0, rest[i], c[order]] for i, c in enumerate((n, good))], 1).astype(np.float64)
-        size = len(words) + 1
-        self.shares = (self.counts + 1) / (self.counts.sum(axis=0) + size)
+        self.wholes = np.array(totals, dtype=np.float64) + size
+        self.shares = (self.counts + 1) / self.wholes
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
+        others = np.full(len(hashes), UNKNOWN, np.uint64) if self.cut else hashes | HASHED
         if not len(self.words):
-            return np.full(len(hashes), UNKNOWN, dtype=np.int64)
+            return others
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 2, UNKNOWN)
+        return np.where(self.words[at] == hashes, (at + 2).astype(np.uint64), others)
 
 
 def squeezed(x: np.ndarray) -> bytes:
@@ -114,7 +120,7 @@ def restored(raw: bytes, kind: type) -> np.ndarray:
 
 
 def pack(batches: Iterator[pa.RecordBatch], held, buckets: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk and bucket: the chunk's ids of rows, and arrays of bigram, row within the chunk, count."""
+    """Per chunk and bucket: the chunk's ids of rows, and arrays of word, history, row within the chunk, count, and whether the word ends the row."""
     vocabulary, known = held.value, Words()
     rows, ids, good, tokens = [], [], [], 0
 
@@ -124,28 +130,32 @@ def pack(batches: Iterator[pa.RecordBatch], held, buckets: int, chunk_tokens: in
         sizes = [len(r) for r in rows]
         doc = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
         word = np.concatenate(rows)
-        history = np.r_[np.int64(START), word[:-1]] if len(word) else word
+        history = np.r_[np.uint64(START), word[:-1]] if len(word) else word
         starts = np.cumsum([0, *sizes[:-1]])
         history[[s for s, n in zip(starts, sizes, strict=True) if n]] = START
-        pair = history << ID_BITS | word
-        order = np.lexsort((doc, pair))
-        pair, doc = pair[order], doc[order]
-        at = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])]) if len(pair) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[at, len(pair)]).astype(np.uint32)
-        pair, doc = pair[at], doc[at].astype(np.uint32)
-        bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+        last = np.zeros(len(word), dtype=np.uint8)
+        last[[s + n - 1 for s, n in zip(starts, sizes, strict=True) if n]] = 1
+        order = np.lexsort((doc, history, word))
+        word, history, doc, last = word[order], history[order], doc[order], last[order]
+        at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (history[1:] != history[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.zeros(0, np.int64)
+        times = np.diff(np.r_[at, len(word)]).astype(np.uint32)
+        last = np.add.reduceat(last, at, dtype=np.uint8) if len(at) else last
+        word, history, doc = word[at], history[at], doc[at].astype(np.uint32)
+        #: A hashed word's bigrams share a bucket.
+        key = np.where(word >= HASHED, word, word * np.uint64(0xC2B2AE3D27D4EB4F) ^ history)
+        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
         names = np.array(ids, dtype=np.int64)
         marks = np.array(good, dtype=np.uint8)
-        cols = [[], [], [], [], []]
+        cols = [[] for _ in range(7)]
         for b in range(buckets):
             mine = order[edges[b] : edges[b + 1]]
             if len(mine):
                 used, local = np.unique(doc[mine], return_inverse=True)
-                for c, x in zip(cols, (b, names[used].tobytes() + marks[used].tobytes(), squeezed(np.diff(pair[mine], prepend=np.int64(0))), squeezed(local.astype(np.uint32)), squeezed(times[mine])), strict=True):
+                for c, x in zip(cols, (b, names[used].tobytes() + marks[used].tobytes(), squeezed(np.diff(word[mine], prepend=np.uint64(0))), squeezed(np.diff(history[mine], prepend=np.uint64(0))), squeezed(local.astype(np.uint32)), squeezed(times[mine]), squeezed(last[mine])), strict=True):
                     c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "pairs", "local", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "words", "histories", "local", "times", "lasts"])
 
     for batch in batches:
         for row, raw, mark in zip(batch["row"].to_pylist(), batch["raw"], batch["good"].to_pylist(), strict=True):
@@ -165,32 +175,41 @@ def score_bucket(batches: Iterator[pa.RecordBatch], held, mu: float) -> Iterator
     now, parts = None, []
 
     def out() -> pa.RecordBatch:
-        docs, pairs, rows, times, base = [], [], [], [], 0
-        for d, p, r, t in parts:
+        docs, words, histories, rows, times, lasts, base = [], [], [], [], [], [], 0
+        for d, w, h, r, t, e in parts:
             n = len(d) // 9
             docs.append((np.frombuffer(d[: 8 * n], np.int64), np.frombuffer(d[8 * n :], np.uint8)))
-            pairs.append(np.cumsum(restored(p, np.int64)))
+            words.append(np.cumsum(restored(w, np.uint64)))
+            histories.append(np.cumsum(restored(h, np.uint64)))
             rows.append(restored(r, np.uint32).astype(np.int64) + base)
             times.append(restored(t, np.uint32))
+            lasts.append(restored(e, np.uint8))
             base += n
-        pair, row, time = np.concatenate(pairs), np.concatenate(rows), np.concatenate(times).astype(np.float64)
+        word, history = np.concatenate(words), np.concatenate(histories)
+        order = np.lexsort((history, word))
+        word, history, row, time, last = word[order], history[order], np.concatenate(rows)[order], np.concatenate(times)[order].astype(np.float64), np.concatenate(lasts)[order]
         names, marks = np.concatenate([d for d, _ in docs]), np.concatenate([m for _, m in docs]).astype(np.float64)
-        order = np.argsort(pair, kind="stable")
-        pair, row, time = pair[order], row[order], time[order]
-        starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (history[1:] != history[:-1])])
         each = np.stack([np.add.reduceat(time, starts), np.add.reduceat(time * marks[row], starts)], 1)
-        h, w = pair[starts] >> ID_BITS, pair[starts] & ((1 << ID_BITS) - 1)
-        #: A text's first word has no history: its share alone.
-        seen = np.where((h == START)[:, None], 0.0, vocabulary.counts[h])
+        h, w = history[starts], word[starts]
+        #: A hashed word's count is that of its bigrams, which are all here.
+        heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+        counts = np.repeat(np.add.reduceat(each, heads, axis=0), np.diff(np.r_[heads, len(w)]), axis=0)
+        hashed = w >= HASHED
+        shares = np.where(hashed[:, None], (counts + 1) / vocabulary.wholes, vocabulary.shares[np.where(hashed, np.uint64(UNKNOWN), w).astype(np.int64)])
+        #: A text's first word has no history: its share alone. A hashed history is taken where its word is.
+        seen = np.where(((h == START) | (h >= HASHED))[:, None], 0.0, vocabulary.counts[np.where(h >= HASHED, np.uint64(START), h).astype(np.int64)])
         each = np.where((h == START)[:, None], 0.0, each)
-        logs = np.log((each + mu * vocabulary.shares[w]) / (seen + mu))
-        gain = np.repeat(logs[:, 1] - logs[:, 0], np.diff(np.r_[starts, len(pair)]))
-        sums, tokens = np.bincount(row, gain * time, base), np.bincount(row, time, base)
+        logs = np.log((each + mu * shares) / (seen + mu))
+        as_history = np.where(hashed[:, None], np.log(counts / mu + 1), 0.0)
+        sizes = np.diff(np.r_[starts, len(word)])
+        gain = np.repeat(logs[:, 1] - logs[:, 0], sizes) * time - np.repeat(as_history[:, 1] - as_history[:, 0], sizes) * (time - last)
+        sums, tokens = np.bincount(row, gain, base), np.bincount(row, time, base)
         names, found = summed(names, np.stack([sums, tokens], 1))
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int64))], ["row", "gain", "tokens"])
 
     for batch in batches:
-        for bucket, *blobs in zip(batch["bucket"].to_pylist(), *(batch[c] for c in ("docs", "pairs", "local", "times")), strict=True):
+        for bucket, *blobs in zip(batch["bucket"].to_pylist(), *(batch[c] for c in ("docs", "words", "histories", "local", "times", "lasts")), strict=True):
             if bucket != now and parts:
                 yield out()
                 parts = []
@@ -200,21 +219,22 @@ def score_bucket(batches: Iterator[pa.RecordBatch], held, mu: float) -> Iterator
         yield out()
 
 
-def score_documents(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", min_share: float = 1e-6, mu: float = 100.0, chunk_tokens: int = 2_000_000, bucket_tokens: int = 1_500_000, min_buckets: int = 96) -> DataFrame:
+def score_documents(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.0, common_share: float = 1e-6, mu: float = 100.0, chunk_tokens: int = 2_000_000, bucket_tokens: int = 1_500_000, min_buckets: int = 96) -> DataFrame:
     """(id_col, n_tokens, score) for every row of docs; score is null without tokens or without a good document."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("raw"))
     words = rows.select("raw", "good").mapInArrow(partial(count_words, chunk_tokens=chunk_tokens), "word long, n long, good long")
     words = materialise(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "lm-words")
     totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    top = words.where(F.col("n") >= min_share * totals[0]).toArrow()  # at most 1 / min_share rows
+    #: Without a cut every word counts, and only the common ones are gathered.
+    cut = min_share > 0
+    top = words.where(F.col("n") >= (min_share if cut else common_share) * totals[0]).toArrow()  # at most one row a share
+    size = (top.num_rows if cut else words.count()) + 1
     free(words)
-    if 1 / min_share >= 1 << ID_BITS:
-        raise ValueError("min_share is too small for word ids of 24 bits")
-    vocabulary = Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["good"].to_numpy(), (totals[0], totals[1]))
+    vocabulary = Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["good"].to_numpy(), (totals[0], totals[1]), size, cut)
     held = spark.sparkContext.broadcast(vocabulary)
     buckets = max(min_buckets, -(-totals[0] // bucket_tokens))
-    packed = rows.select("row", "good", "raw").mapInArrow(partial(pack, held=held, buckets=buckets, chunk_tokens=chunk_tokens), "bucket int, docs binary, pairs binary, local binary, times binary")
+    packed = rows.select("row", "good", "raw").mapInArrow(partial(pack, held=held, buckets=buckets, chunk_tokens=chunk_tokens), "bucket int, docs binary, words binary, histories binary, local binary, times binary, lasts binary")
     sums = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(score_bucket, held=held, mu=mu), "row long, gain double, tokens long")
     #: Equal rows (same id and text) share a key and so double both sums: their quotient stays.
     sums = sums.groupBy("row").agg(F.sum("gain").alias("gain"), F.sum("tokens").alias("tokens"))

@@ -109,6 +109,31 @@ def test_lm_scores(spark, share, chunk):
     assert cross_entropy.score_documents(frame.limit(0), F.col("ok")).count() == 0
 
 
+@pytest.mark.parametrize("common", [2.0, 0.02, 1e-6])
+def test_lm_scores_of_rare_words(spark, common):
+    """Every word keeps its own counts, whether its count is broadcast or not."""
+    rng = random.Random(5)
+    docs = [(i, " ".join([f"only{i}", f"pair{i // 2}", *invented(rng, rng.randint(0, 60), ("a", "B", "c")), f"pair{i // 2}", "END"][: rng.randint(1, 70)])) for i in range(80)] + [(80, None), (81, "solo"), (5, "again pair2 pair2")]
+    good = {i for i in range(0, 80, 3)}
+    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean")
+    got = cross_entropy.score_documents(frame, F.col("ok"), common_share=common, chunk_tokens=300, min_buckets=7).collect()
+    want = brute_scores(docs, good, share=0)
+    show = lambda xs: np.array(sorted((i, -99.0 if s is None else round(s, 6)) for i, s in xs))
+    assert show((r.doc_id, r.score) for r in got) == pytest.approx(show((d[0], s) for d, s in zip(docs, want, strict=True)), abs=2e-6)
+
+
+def test_lm_default_cuts_no_word(spark):
+    """In a corpus of over a million tokens a word that occurs once is still itself."""
+    rng = random.Random(6)
+    filler = " ".join(invented(rng, 2000))
+    docs = [(i, filler) for i in range(1100)] + [(2000 + i, f"one{i} two{i} of one{i}") for i in range(6)]
+    good = {2000, 2001, 0}
+    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean")
+    got = {r.doc_id: r.score for r in cross_entropy.score_documents(frame, F.col("ok"), min_buckets=7).collect()}
+    want = dict(zip([d[0] for d in docs], brute_scores(docs, good, share=0), strict=True))
+    assert [got[i] for i in range(2000, 2006)] == pytest.approx([want[i] for i in range(2000, 2006)], abs=2e-6)
+
+
 def test_mix(spark):
     rng = random.Random(4)
     docs = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(900, None, "e"), (901, "x", "é"), (None, "y z", "a")]
