@@ -26,7 +26,8 @@ block_parts * part_words * rank numbers. No pass shuffles texts.
 
 Defined results: null, empty and wordless texts, and items without words,
 match nothing; ties and repeated rows are judged alike and all stay; equal
-items both match; an empty corpus or benchmark gives no match; further
+items both match; an item without an id is searched like any other and its
+match has a null item; an empty corpus or benchmark gives no match; further
 columns are not read.
 """
 
@@ -220,7 +221,7 @@ def search(batches: Iterator[pa.RecordBatch], held, o: dict) -> Iterator[pa.Reco
             return None
         tail = min(o["answer_words"], len(part))
         answer = 2 * lcs(region, answers[q], tail) >= tail
-        return (int(items[q]), begin, len(region), cosine, share, answer) if answer or share >= o["sure"] else None
+        return (items[q], begin, len(region), cosine, share, answer) if answer or share >= o["sure"] else None
 
     for batch in batches:
         texts = [np.frombuffer(raw.as_py(), np.uint16) for raw in batch["ids"]]
@@ -285,7 +286,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         new = new.dropDuplicates(["row"]).select("row", F.col("matches").alias("new"))
         return found.join(new, "row").select("id", "row", F.concat("matches", "new").alias("matches"))
 
-    for row in benchmark.select(F.col(item_col).cast("long"), item_text).where(F.col(item_col).isNotNull()).orderBy(item_col, item_text).toLocalIterator():
+    for row in benchmark.select(F.col(item_col).cast("long"), item_text).orderBy(item_col, item_text).toLocalIterator():
         words = words_of(row[1])
         n = -(-len(words) // part_words)
         pieces += [(row[0], words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)]

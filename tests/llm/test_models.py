@@ -46,6 +46,17 @@ def test_leaks(spark):
     assert {len(r.matches) for r in decontaminate.find_leaks(frame, bench.limit(0)).collect()} == {0}
 
 
+def test_leaks_of_items_without_id(spark):
+    rng = random.Random(7)
+    items = [(None, " ".join(invented(rng, 40))), (1, " ".join(invented(rng, 40)))]
+    texts = [invented(rng, 300) for _ in range(20)]
+    texts[3][100:100] = items[0][1].split()
+    texts[4][100:100] = items[1][1].split()
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {m.item for m in r.matches} for r in decontaminate.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: found for i, found in got.items() if found} == {3: {None}, 4: {1}}
+
+
 def test_search_against_brute_force(spark):
     """Of the items that stand word for word in a text, at least nine in ten are found."""
     docs, bench = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
