@@ -5,30 +5,31 @@ documents) are matched: bigram models of the same form, smoothing and
 vocabulary. A document's score is the mean over its tokens of
 log p_target - log p_background, so higher is more like the target.
 
-Vocabulary: every word of the corpus. With the unigram shares u and weight
-``mu``: p(w | h) = (c(h, w) + mu u(w)) / (c(h) + mu), u(w) = (c(w) + 1) /
-(N + V), where V counts the words and one unknown. Words with at least a
-share ``common_share`` of all tokens, so at most 1 / common_share of them at
-any size, have their counts broadcast, and their bigrams are dealt to buckets
-one by one. Every other word has all its bigrams in one bucket, which counts
-the word there; what it contributes as a history is summed there as well,
-since each of its tokens but a text's last is one. Only a caller that sets
-``min_share`` has the words below that share taken as the unknown word.
-
-Bigram counts are exact and never gathered: a task packs its documents'
-bigrams by hash into buckets (repeats within a document as one entry with a
-count, so a frequent bigram has an entry a document at most), each bucket
-counts its bigrams and scores them at once, and returns sums per document.
-Only packed arrays are shuffled, once there and once back; what goes there
-grows with the corpus. A batch is cut at ``chunk_tokens`` tokens, so neither
-the packing nor, with buckets in proportion to the input, the counting side
-holds more than a bounded share of it.
+The vocabulary is every word of the corpus, none cut off. With the unigram
+shares u and weight ``mu``: p(w | h) = (c(h, w) + mu u(w)) / (c(h) + mu), with
+u(w) = (c(w) + 1) / (N + V), where V counts the words and one unknown.
+
+Counts are exact and never gathered or broadcast:
+
+1. Each task cuts its texts into chunks of about ``chunk_tokens`` tokens and
+   writes a chunk once, as word codes. A chunk asks for the counts of its
+   distinct words and bigrams (64-bit hashes), stating how often it has them
+   itself; what it asks is dealt by ranges of the hashes into buckets.
+2. A bucket adds up what the chunks state and answers each with the totals of
+   the keys that it asked for, in the same order.
+3. A chunk meets its answers and scores its documents.
+
+So a bigram that every document has is one entry for each chunk of millions of
+tokens, not one for each document; buckets are ranges of mixed hashes, so they
+are even. Chunks and buckets have bounded sizes, and their numbers grow with
+the corpus. Only packed arrays are shuffled.
 
 Defined results: a null or empty text and one without words has no tokens
 and a null score; a null mark is not good; repeated rows count as often as
-they occur and get equal scores; null ids are kept; without any good
-document every score is null; an empty table gives an empty table; only the
-named columns are read.
+they occur and get equal scores; null and repeated ids are kept as they are;
+without any good document every score is null; a text longer than a chunk is
+a chunk of its own; an empty table gives an empty table; only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -38,209 +39,182 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, join_small, materialise, table
-
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-START, UNKNOWN = 0, 1
-#: Words are ids (common ones) or hashes with this bit set.
-HASHED = np.uint64(1 << 63)
+from .common import join_small, materialise, table
+from .words import batches_of, mixed, word_hashes
 
+#: The lowest bit of a key tells bigrams from words.
+BIGRAM = np.uint64(1)
+CHUNK = "chunk long, bucket int, ids array<{kind}>, sizes binary, codes binary, words binary, tokens long, good_tokens long, asked binary, stated binary, n_words int"
 
-class Words(dict):
-    """word -> 64-bit hash; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        x = self[word] = xxhash.xxh64_intdigest(word)
-        return x
-
-
-def hashes_of(raw: bytes, known: Words) -> np.ndarray:
-    return np.array([known[w] for w in raw.translate(LOWER).split()], dtype=np.uint64)
 
+def squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
 
-def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and the sums of their weights (rows of weights)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(weights[order], starts, axis=0) if len(keys) else weights[:0]
 
+def restored(raw: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
-def count_words(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """(word, n, good) of each chunk of documents."""
-    known, parts, held = Words(), [], 0
 
-    def out() -> pa.RecordBatch:
-        keys, sums = summed(np.concatenate([p for p, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([np.stack([np.ones(len(p)), np.full(len(p), g)], 1) for p, g in parts] or [np.zeros((0, 2))]))
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1].astype(np.int64))], ["word", "n", "good"])
+def bigram_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which tokens have a word before them, the keys of those bigrams)."""
+    inner = np.ones(len(words), bool)
+    inner[np.cumsum(np.r_[0, sizes[:-1]])[sizes > 0]] = False
+    at = np.flatnonzero(inner)
+    return at, mixed(words[at - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[at]) | BIGRAM
 
-    for batch in batches:
-        for raw, good in zip(batch["raw"], batch["good"].to_pylist(), strict=True):
-            parts.append((hashes_of(raw.as_py() or b"", known), bool(good)))
-            held += len(parts[-1][0])
-            if held >= chunk_tokens:
-                yield out()
-                parts, held = [], 0
-    yield out()
 
+def counted(keys: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, how often each occurs, how often among the good)."""
+    names, n = np.unique(keys, return_counts=True)
+    out = np.zeros(len(names), np.int64)
+    some, times = np.unique(keys[good], return_counts=True)
+    out[np.searchsorted(names, some)] = times
+    return names, n, out
 
-class Vocabulary:
-    """Sorted hashes of common words with their counts; ids follow that order from 2."""
 
-    def __init__(self, words: np.ndarray, n: np.ndarray, good: np.ndarray, totals: tuple[int, int], size: int, cut: bool) -> None:
-        order = np.argsort(words)
-        self.words, self.cut = words[order], cut
-        rest = [totals[0] - n.sum(), totals[1] - good.sum()] if cut else [0, 0]
-        #: Counts by id: the start (never predicted), the unknown word, the words.
-        self.counts = np.stack([np.r_[0, rest[i], c[order]] for i, c in enumerate((n, good))], 1).astype(np.float64)
-        self.wholes = np.array(totals, dtype=np.float64) + size
-        self.shares = (self.counts + 1) / self.wholes
+def edges_of(buckets: int) -> np.ndarray:
+    """Where the ranges of 64-bit keys end, but for the last."""
+    return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        others = np.full(len(hashes), UNKNOWN, np.uint64) if self.cut else hashes | HASHED
-        if not len(self.words):
-            return others
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, (at + 2).astype(np.uint64), others)
 
+def cut_chunks(batches: Iterator[pa.RecordBatch], buckets: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk (bucket -1), and one for each bucket that it asks."""
+    edges, task = edges_of(buckets), TaskContext.get().partitionId()
+    ids, sizes, marks, hashes, held, nth = [], [], [], [], 0, 0
 
-def squeezed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
+    def out() -> Iterator[pa.RecordBatch]:
+        names, words = pa.concat_arrays(ids), np.concatenate(hashes) & ~BIGRAM
+        size, mark = np.concatenate(sizes), np.concatenate(marks)
+        good = np.repeat(mark, size)
+        at, keys = bigram_keys(words, size)
+        each = [counted(words, good), counted(keys, good[at])]
+        codes = np.searchsorted(each[0][0], words).astype(np.uint32)
+        cuts = [np.r_[0, np.searchsorted(k, edges), len(k)] for k, _, _ in each]
+        rows = [(-1, squeezed(size.astype(np.uint32)), squeezed(codes), squeezed(np.diff(each[0][0], prepend=np.uint64(0))), len(words), int(good.sum()), None, None, None)]
+        for b in range(buckets):
+            mine = [slice(c[b], c[b + 1]) for c in cuts]
+            n_words = mine[0].stop - mine[0].start
+            if n_words or mine[1].stop > mine[1].start:
+                asked = np.concatenate([np.diff(k[m], prepend=np.uint64(0)) for (k, _, _), m in zip(each, mine, strict=True)])
+                stated = np.concatenate([e[i][m] for i in (1, 2) for e, m in zip(each, mine, strict=True)]).astype(np.uint32)
+                rows.append((b, None, None, None, None, None, squeezed(asked), squeezed(stated), n_words))
+        chunk = pa.array(np.full(len(rows), (task << 32) + nth, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array([0] + [len(names)] * len(rows), pa.int32()), names)
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([chunk, columns[0], lists, *columns[1:]], ["chunk", "bucket", "ids", "sizes", "codes", "words", "tokens", "good_tokens", "asked", "stated", "n_words"])
 
-def restored(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    for batch in batches:
+        at = 0
+        for texts in batches_of([t.as_py() or b"" for t in batch["raw"]]):
+            found, n = word_hashes(texts)
+            ids.append(batch["id"].slice(at, len(texts)))
+            marks.append(np.array(batch["good"].slice(at, len(texts)).to_pylist(), bool))
+            sizes.append(n)
+            hashes.append(found)
+            at += len(texts)
+            held += len(found)
+            if held >= chunk_tokens:
+                yield from out()
+                ids, sizes, marks, hashes, held, nth = [], [], [], [], 0, nth + 1
+    if ids:
+        yield from out()
 
 
-def pack(batches: Iterator[pa.RecordBatch], held, buckets: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Per chunk and bucket: the chunk's ids of rows, and arrays of word, history, row within the chunk, count, and whether the word ends the row."""
-    vocabulary, known = held.value, Words()
-    rows, ids, good, tokens = [], [], [], 0
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by bucket: the totals of what each chunk asked, and how many words a bucket has."""
+    now, held = None, []
 
-    def out() -> Iterator[pa.RecordBatch]:
-        if not rows:
-            return
-        sizes = [len(r) for r in rows]
-        doc = np.repeat(np.arange(len(rows), dtype=np.int64), sizes)
-        word = np.concatenate(rows)
-        history = np.r_[np.uint64(START), word[:-1]] if len(word) else word
-        starts = np.cumsum([0, *sizes[:-1]])
-        history[[s for s, n in zip(starts, sizes, strict=True) if n]] = START
-        last = np.zeros(len(word), dtype=np.uint8)
-        last[[s + n - 1 for s, n in zip(starts, sizes, strict=True) if n]] = 1
-        order = np.lexsort((doc, history, word))
-        word, history, doc, last = word[order], history[order], doc[order], last[order]
-        at = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (history[1:] != history[:-1]) | (doc[1:] != doc[:-1])]) if len(word) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[at, len(word)]).astype(np.uint32)
-        last = np.add.reduceat(last, at, dtype=np.uint8) if len(at) else last
-        word, history, doc = word[at], history[at], doc[at].astype(np.uint32)
-        #: A hashed word's bigrams share a bucket.
-        key = np.where(word >= HASHED, word, word * np.uint64(0xC2B2AE3D27D4EB4F) ^ history)
-        bucket = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        names = np.array(ids, dtype=np.int64)
-        marks = np.array(good, dtype=np.uint8)
-        cols = [[] for _ in range(7)]
-        for b in range(buckets):
-            mine = order[edges[b] : edges[b + 1]]
-            if len(mine):
-                used, local = np.unique(doc[mine], return_inverse=True)
-                for c, x in zip(cols, (b, names[used].tobytes() + marks[used].tobytes(), squeezed(np.diff(word[mine], prepend=np.uint64(0))), squeezed(np.diff(history[mine], prepend=np.uint64(0))), squeezed(local.astype(np.uint32)), squeezed(times[mine]), squeezed(last[mine])), strict=True):
-                    c.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "docs", "words", "histories", "local", "times", "lasts"])
+    def out() -> pa.RecordBatch:
+        keys, n, good, chunks = [], [], [], []
+        for chunk, asked, stated, n_words in held:
+            steps, mine = restored(asked, np.uint64), restored(stated, np.uint32)
+            keys += [np.cumsum(steps[:n_words], dtype=np.uint64), np.cumsum(steps[n_words:], dtype=np.uint64)]
+            n.append(mine[: len(steps)])
+            good.append(mine[len(steps) :])
+            chunks.append(chunk)
+        names, place = np.unique(np.concatenate(keys), return_inverse=True)
+        totals = np.stack([np.bincount(place, np.concatenate(x), len(names)) for x in (n, good)]).astype(np.uint64)[:, place]
+        bounds = np.cumsum([0, *map(len, n)])
+        found = [squeezed(totals[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        distinct = [int((names & BIGRAM == 0).sum())] + [0] * (len(chunks) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([now] * len(chunks), pa.int32()), pa.array(found, pa.binary()), pa.array(distinct, pa.int64())], ["chunk", "bucket", "totals", "distinct"])
 
     for batch in batches:
-        for row, raw, mark in zip(batch["row"].to_pylist(), batch["raw"], batch["good"].to_pylist(), strict=True):
-            rows.append(vocabulary.ids(hashes_of(raw.as_py() or b"", known)))
-            ids.append(row)
-            good.append(bool(mark))
-            tokens += len(rows[-1])
-            if tokens >= chunk_tokens:
-                yield from out()
-                rows, ids, good, tokens = [], [], [], 0
-    yield from out()
+        for bucket, chunk, asked, stated, n_words in zip(*(batch[c] for c in ("bucket", "chunk", "asked", "stated", "n_words")), strict=True):
+            if bucket.as_py() != now and held:
+                yield out()
+                held = []
+            now = bucket.as_py()
+            held.append((chunk.as_py(), asked.as_py(), stated.as_py(), n_words.as_py()))
+    if held:
+        yield out()
 
 
-def score_bucket(batches: Iterator[pa.RecordBatch], held, mu: float) -> Iterator[pa.RecordBatch]:
-    """Count the bigrams of each bucket (rows come sorted by bucket) and return (row, sum, tokens) of its documents."""
-    vocabulary = held.value
-    now, parts = None, []
+def score_chunks(batches: Iterator[pa.RecordBatch], buckets: int, wholes: tuple[int, int], mu: float) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by chunk, its texts first and then its answers: (id, n_tokens, score) of its documents."""
+    edges = edges_of(buckets)
+    whole = np.array(wholes, np.float64)[:, None]
+    chunk, answers, now = None, [], None
 
     def out() -> pa.RecordBatch:
-        docs, words, histories, rows, times, lasts, base = [], [], [], [], [], [], 0
-        for d, w, h, r, t, e in parts:
-            n = len(d) // 9
-            docs.append((np.frombuffer(d[: 8 * n], np.int64), np.frombuffer(d[8 * n :], np.uint8)))
-            words.append(np.cumsum(restored(w, np.uint64)))
-            histories.append(np.cumsum(restored(h, np.uint64)))
-            rows.append(restored(r, np.uint32).astype(np.int64) + base)
-            times.append(restored(t, np.uint32))
-            lasts.append(restored(e, np.uint8))
-            base += n
-        word, history = np.concatenate(words), np.concatenate(histories)
-        order = np.lexsort((history, word))
-        word, history, row, time, last = word[order], history[order], np.concatenate(rows)[order], np.concatenate(times)[order].astype(np.float64), np.concatenate(lasts)[order]
-        names, marks = np.concatenate([d for d, _ in docs]), np.concatenate([m for _, m in docs]).astype(np.float64)
-        starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (history[1:] != history[:-1])])
-        each = np.stack([np.add.reduceat(time, starts), np.add.reduceat(time * marks[row], starts)], 1)
-        h, w = history[starts], word[starts]
-        #: A hashed word's count is that of its bigrams, which are all here.
-        heads = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
-        counts = np.repeat(np.add.reduceat(each, heads, axis=0), np.diff(np.r_[heads, len(w)]), axis=0)
-        hashed = w >= HASHED
-        shares = np.where(hashed[:, None], (counts + 1) / vocabulary.wholes, vocabulary.shares[np.where(hashed, np.uint64(UNKNOWN), w).astype(np.int64)])
-        #: A text's first word has no history: its share alone. A hashed history is taken where its word is.
-        seen = np.where(((h == START) | (h >= HASHED))[:, None], 0.0, vocabulary.counts[np.where(h >= HASHED, np.uint64(START), h).astype(np.int64)])
-        each = np.where((h == START)[:, None], 0.0, each)
-        logs = np.log((each + mu * shares) / (seen + mu))
-        as_history = np.where(hashed[:, None], np.log(counts / mu + 1), 0.0)
-        sizes = np.diff(np.r_[starts, len(word)])
-        gain = np.repeat(logs[:, 1] - logs[:, 0], sizes) * time - np.repeat(as_history[:, 1] - as_history[:, 0], sizes) * (time - last)
-        sums, tokens = np.bincount(row, gain, base), np.bincount(row, time, base)
-        names, found = summed(names, np.stack([sums, tokens], 1))
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(found[:, 0]), pa.array(found[:, 1].astype(np.int64))], ["row", "gain", "tokens"])
+        ids, size, codes, words = chunk[0], restored(chunk[1], np.uint32).astype(np.int64), restored(chunk[2], np.uint32), np.cumsum(restored(chunk[3], np.uint64), dtype=np.uint64)
+        at, keys = bigram_keys(words[codes], size)
+        names, place = np.unique(keys, return_inverse=True)
+        n_words = np.diff(np.r_[0, np.searchsorted(words, edges), len(words)])
+        parts = [(b, restored(raw, np.uint64).reshape(2, -1)) for b, raw in answers]
+        of_word = np.concatenate([t[:, : n_words[b]] for b, t in parts] or [np.zeros((2, 0))], axis=1).astype(np.float64)
+        of_pair = np.concatenate([t[:, n_words[b] :] for b, t in parts] or [np.zeros((2, 0))], axis=1).astype(np.float64)
+        if (of_word.shape[1], of_pair.shape[1]) != (len(words), len(names)):
+            raise ValueError("a chunk lacks answers")
+        shares = (of_word + 1) / whole
+        gain = np.log(shares[1] / shares[0])[codes]
+        up = of_pair[:, place] + mu * shares[:, codes[at]]
+        down = of_word[:, codes[at - 1]] + mu
+        gain[at] = np.log(up[1] * down[0] / (up[0] * down[1]))
+        sums = np.bincount(np.repeat(np.arange(len(size)), size), gain, len(size))
+        none = (size == 0) | (whole[1, 0] < 0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(sums / np.maximum(size, 1), mask=none)], ["id", "n_tokens", "score"])
 
     for batch in batches:
-        for bucket, *blobs in zip(batch["bucket"].to_pylist(), *(batch[c] for c in ("docs", "words", "histories", "local", "times", "lasts")), strict=True):
-            if bucket != now and parts:
+        for i, (number, bucket, totals) in enumerate(zip(*(batch[c].to_pylist() for c in ("chunk", "bucket", "totals")), strict=True)):
+            if number != now and now is not None:
                 yield out()
-                parts = []
-            now = bucket
-            parts.append([x.as_py() for x in blobs])
-    if parts:
+                answers = []
+            now = number
+            if bucket < 0:
+                chunk = (batch["ids"][i].values, *(batch[c][i].as_py() for c in ("sizes", "codes", "words")))
+            else:
+                answers.append((bucket, totals))
+    if now is not None:
         yield out()
 
 
-def score_documents(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", min_share: float = 0.0, common_share: float = 1e-6, mu: float = 100.0, chunk_tokens: int = 2_000_000, bucket_tokens: int = 1_500_000, min_buckets: int = 96) -> DataFrame:
-    """(id_col, n_tokens, score) for every row of docs; score is null without tokens or without a good document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.xxhash64(id_col, text_col).alias("row"), F.col(text_col).cast("binary").alias("raw"))
-    words = rows.select("raw", "good").mapInArrow(partial(count_words, chunk_tokens=chunk_tokens), "word long, n long, good long")
-    words = materialise(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "lm-words")
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    #: Without a cut every word counts, and only the common ones are gathered.
-    cut = min_share > 0
-    top = words.where(F.col("n") >= (min_share if cut else common_share) * totals[0]).toArrow()  # at most one row a share
-    size = (top.num_rows if cut else words.count()) + 1
-    free(words)
-    vocabulary = Vocabulary(top["word"].to_numpy().view(np.uint64), top["n"].to_numpy(), top["good"].to_numpy(), (totals[0], totals[1]), size, cut)
-    held = spark.sparkContext.broadcast(vocabulary)
-    buckets = max(min_buckets, -(-totals[0] // bucket_tokens))
-    packed = rows.select("row", "good", "raw").mapInArrow(partial(pack, held=held, buckets=buckets, chunk_tokens=chunk_tokens), "bucket int, docs binary, words binary, histories binary, local binary, times binary, lasts binary")
-    sums = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(partial(score_bucket, held=held, mu=mu), "row long, gain double, tokens long")
-    #: Equal rows (same id and text) share a key and so double both sums: their quotient stays.
-    sums = sums.groupBy("row").agg(F.sum("gain").alias("gain"), F.sum("tokens").alias("tokens"))
-    found = rows.select("id", "row", F.coalesce(F.regexp_count(F.col("raw").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens")).join(sums, "row", "left")
-    score = F.when(F.lit(totals[1] > 0) & (F.col("n_tokens") > 0), F.col("gain") / F.col("tokens"))
-    return found.select(F.col("id").alias(id_col), "n_tokens", score.alias("score"))
+def score_documents(docs: DataFrame, good: Column, id_col: str = "doc_id", text_col: str = "text", mu: float = 100.0, chunk_tokens: int = 2_000_000, bucket_bytes: int = 8 << 20, min_buckets: int = 32) -> DataFrame:
+    """(id_col, n_tokens, score) for every row of docs; score is null without tokens or without a good document.
+
+    bucket_bytes: bytes of text for each bucket of counts.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.col(text_col).cast("binary").alias("raw"))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(min_buckets, -(-size // bucket_bytes))
+    chunks = materialise(rows.mapInArrow(partial(cut_chunks, buckets=buckets, chunk_tokens=chunk_tokens), CHUNK.format(kind=kind)), "lm-chunks")
+    asked = chunks.where("bucket >= 0").select("bucket", "chunk", "asked", "stated", "n_words")
+    answers = materialise(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, totals binary, distinct long"), "lm-answers")
+    tokens = chunks.where("bucket < 0").agg(F.sum("tokens"), F.sum("good_tokens")).first()
+    vocabulary = (answers.agg(F.sum("distinct")).first()[0] or 0) + 1
+    #: Without a good token nothing is scored.
+    wholes = ((tokens[0] or 0) + vocabulary, tokens[1] + vocabulary if tokens[1] else -1)
+    own = chunks.where("bucket < 0").select("chunk", "bucket", "ids", "sizes", "codes", "words", F.lit(None).cast("binary").alias("totals"))
+    both = own.unionByName(answers.select("chunk", "bucket", "totals"), allowMissingColumns=True)
+    scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(partial(score_chunks, buckets=buckets, wholes=wholes, mu=mu), f"id {kind}, n_tokens long, score double")
+    return scored.withColumnRenamed("id", id_col)
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import duckdb
 import numpy as np
@@ -83,21 +84,14 @@ def test_lcs():
         assert decontaminate.lcs(np.array(a), decontaminate.masks_of(np.array(b)), len(b)) == table[-1][-1]
 
 
-def brute_scores(docs, good, mu=100, share=1e-6):
+def brute_scores(docs, good, mu=100):
     texts = [re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split() for _, t in docs]
     words, pairs = [Counter(), Counter()], [Counter(), Counter()]
-    for (i, _), ws in zip(docs, texts, strict=True):
-        for k in (0, 1) if i in good else (0,):
-            words[k].update(ws)
-    n = sum(words[0].values())
-    known = {w for w, c in words[0].items() if c >= share * n}
-    texts = [[w if w in known else None for w in ws] for ws in texts]
-    words = [Counter(), Counter()]
     for (i, _), ws in zip(docs, texts, strict=True):
         for k in (0, 1) if i in good else (0,):
             words[k].update(ws)
             pairs[k].update(zip(ws, ws[1:]))  # noqa: B905
-    totals = [sum(w.values()) + len(known) + 1 for w in words]
+    totals = [sum(w.values()) + len(words[0]) + 1 for w in words]
 
     def p(k, h, w):
         u = (words[k][w] + 1) / totals[k]
@@ -106,43 +100,34 @@ def brute_scores(docs, good, mu=100, share=1e-6):
     return [sum(math.log(p(1, h, w) / p(0, h, w)) for h, w in zip(["start", *ws[:-1]], ws, strict=True)) / len(ws) if ws else None for ws in texts]
 
 
-@pytest.mark.parametrize("share,chunk", [(1e-6, 2_000_000), (0.01, 40)])
-def test_lm_scores(spark, share, chunk):
+def shown(scores):
+    return np.array(sorted((-1 if i is None else i, -99.0 if s is None else round(s, 6)) for i, s in scores))
+
+
+@pytest.mark.parametrize("chunk,buckets", [(2_000_000, 1), (40, 7), (300, 400)])
+def test_lm_scores(spark, chunk, buckets):
+    """Against plain counters: common and rare words, null and repeated ids, repeated rows, a text longer than a chunk."""
     rng = random.Random(3)
-    docs = [(i, " ".join(invented(rng, rng.randint(0, 40), ("a", "B", "c")))) for i in range(60)] + [(60, None), (61, "same " * 500), (5, "Again a text")]
+    docs = [(i, " ".join([f"only{i}", *invented(rng, rng.randint(0, 40), ("a", "B", "c")), f"pair{i // 2}"][: rng.randint(0, 42)])) for i in range(60)]
+    docs += [(60, None), (61, "same " * 500), (5, "Again a text"), (5, "Again a text"), (None, "no id"), (None, "no id either\tA"), (62, " \n")]
     good = {i for i in range(0, 60, 3)}
-    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean").withColumn("row", F.lit(0))
-    got = cross_entropy.score_documents(frame, F.col("ok"), min_share=share, chunk_tokens=chunk, min_buckets=7).collect()
-    want = brute_scores(docs, good, share=share)
-    show = lambda xs: np.array(sorted((i, -99.0 if s is None else round(s, 6)) for i, s in xs))
-    assert show((r.doc_id, r.score) for r in got) == pytest.approx(show((d[0], s) for d, s in zip(docs, want, strict=True)), abs=2e-6)
+    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean").withColumns({"row": F.lit(0), "chunk": F.lit(1), "good": F.lit("x")})
+    got = cross_entropy.score_documents(frame, F.col("ok"), chunk_tokens=chunk, min_buckets=buckets).collect()
+    assert shown((r.doc_id, r.score) for r in got) == pytest.approx(shown((d[0], s) for d, s in zip(docs, brute_scores(docs, good), strict=True)), abs=2e-6)
+    assert sorted(r.n_tokens for r in got) == sorted(len((t or "").split()) for _, t in docs)
     assert all(r.score is None for r in cross_entropy.score_documents(frame, F.lit(False)).collect())
     assert cross_entropy.score_documents(frame.limit(0), F.col("ok")).count() == 0
 
 
-@pytest.mark.parametrize("common", [2.0, 0.02, 1e-6])
-def test_lm_scores_of_rare_words(spark, common):
-    """Every word keeps its own counts, whether its count is broadcast or not."""
-    rng = random.Random(5)
-    docs = [(i, " ".join([f"only{i}", f"pair{i // 2}", *invented(rng, rng.randint(0, 60), ("a", "B", "c")), f"pair{i // 2}", "END"][: rng.randint(1, 70)])) for i in range(80)] + [(80, None), (81, "solo"), (5, "again pair2 pair2")]
-    good = {i for i in range(0, 80, 3)}
-    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean")
-    got = cross_entropy.score_documents(frame, F.col("ok"), common_share=common, chunk_tokens=300, min_buckets=7).collect()
-    want = brute_scores(docs, good, share=0)
-    show = lambda xs: np.array(sorted((i, -99.0 if s is None else round(s, 6)) for i, s in xs))
-    assert show((r.doc_id, r.score) for r in got) == pytest.approx(show((d[0], s) for d, s in zip(docs, want, strict=True)), abs=2e-6)
-
-
-def test_lm_default_cuts_no_word(spark):
-    """In a corpus of over a million tokens a word that occurs once is still itself."""
-    rng = random.Random(6)
-    filler = " ".join(invented(rng, 2000))
-    docs = [(i, filler) for i in range(1100)] + [(2000 + i, f"one{i} two{i} of one{i}") for i in range(6)]
-    good = {2000, 2001, 0}
-    frame = spark.createDataFrame([(i, t, i in good) for i, t in docs], "doc_id long, text string, ok boolean")
-    got = {r.doc_id: r.score for r in cross_entropy.score_documents(frame, F.col("ok"), min_buckets=7).collect()}
-    want = dict(zip([d[0] for d in docs], brute_scores(docs, good, share=0), strict=True))
-    assert [got[i] for i in range(2000, 2006)] == pytest.approx([want[i] for i in range(2000, 2006)], abs=2e-6)
+def test_lm_hot_bigram(spark):
+    """One bigram in every document is an entry a chunk, not one a document."""
+    docs = [(i, f"hot pair w{i}") for i in range(3000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = frame.select(F.col("doc_id").alias("id"), F.lit(False).alias("good"), F.col("text").cast("binary").alias("raw"))
+    chunks = rows.mapInArrow(partial(cross_entropy.cut_chunks, buckets=1, chunk_tokens=1000), cross_entropy.CHUNK.format(kind="bigint")).collect()
+    asked = [len(cross_entropy.restored(bytes(r.asked), np.uint64)) for r in chunks if r.bucket == 0]
+    assert sum(r.tokens for r in chunks if r.bucket < 0) == 9000 and len(asked) <= 12
+    assert sum(asked) == sum(2 * r.tokens // 3 + 3 for r in chunks if r.bucket < 0)  # each w and its bigram, and hot, pair, hot pair
 
 
 def test_mix(spark):
