@@ -13,7 +13,7 @@ Counts are exact and never gathered or broadcast:
 
 1. Each task cuts its texts into chunks of about ``chunk_tokens`` tokens and
    writes a chunk once, as word codes. A chunk asks for the counts of its
-   distinct words and bigrams (64-bit hashes), stating how often it has them
+   distinct words and bigrams (63 bits of a hash), stating how often it has them
    itself; what it asks is dealt by ranges of the hashes into buckets.
 2. A bucket adds up what the chunks state and answers each with the totals of
    the keys that it asked for, in the same order.
@@ -49,15 +49,19 @@ from .words import batches_of, mixed, word_hashes
 
 #: The lowest bit of a key tells bigrams from words.
 BIGRAM = np.uint64(1)
-CHUNK = "chunk long, bucket int, ids array<{kind}>, sizes binary, codes binary, words binary, tokens long, good_tokens long, asked binary, stated binary, n_words int"
+CHUNK = "chunk long, ids array<{kind}>, marks binary, sizes binary, codes binary, words binary, tokens long, good_tokens long"
+ASKED = "bucket int, chunk long, asked binary, stated binary, n_words int"
 
 
 def squeezed(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """Numbers by planes of equal bytes, packed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def restored(raw: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def bigram_keys(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,32 +86,19 @@ def edges_of(buckets: int) -> np.ndarray:
     return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
 
 
-def cut_chunks(batches: Iterator[pa.RecordBatch], buckets: int, chunk_tokens: int) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk (bucket -1), and one for each bucket that it asks."""
-    edges, task = edges_of(buckets), TaskContext.get().partitionId()
+def cut_chunks(batches: Iterator[pa.RecordBatch], chunk_tokens: int) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of texts: its documents' ids, marks and sizes, its words, and their codes."""
+    task = TaskContext.get().partitionId()
     ids, sizes, marks, hashes, held, nth = [], [], [], [], 0, 0
 
-    def out() -> Iterator[pa.RecordBatch]:
-        names, words = pa.concat_arrays(ids), np.concatenate(hashes) & ~BIGRAM
-        size, mark = np.concatenate(sizes), np.concatenate(marks)
-        good = np.repeat(mark, size)
-        at, keys = bigram_keys(words, size)
-        each = [counted(words, good), counted(keys, good[at])]
-        codes = np.searchsorted(each[0][0], words).astype(np.uint32)
-        cuts = [np.r_[0, np.searchsorted(k, edges), len(k)] for k, _, _ in each]
-        rows = [(-1, squeezed(size.astype(np.uint32)), squeezed(codes), squeezed(np.diff(each[0][0], prepend=np.uint64(0))), len(words), int(good.sum()), None, None, None)]
-        for b in range(buckets):
-            mine = [slice(c[b], c[b + 1]) for c in cuts]
-            n_words = mine[0].stop - mine[0].start
-            if n_words or mine[1].stop > mine[1].start:
-                asked = np.concatenate([np.diff(k[m], prepend=np.uint64(0)) for (k, _, _), m in zip(each, mine, strict=True)])
-                stated = np.concatenate([e[i][m] for i in (1, 2) for e, m in zip(each, mine, strict=True)]).astype(np.uint32)
-                rows.append((b, None, None, None, None, None, squeezed(asked), squeezed(stated), n_words))
-        chunk = pa.array(np.full(len(rows), (task << 32) + nth, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array([0] + [len(names)] * len(rows), pa.int32()), names)
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays([chunk, columns[0], lists, *columns[1:]], ["chunk", "bucket", "ids", "sizes", "codes", "words", "tokens", "good_tokens", "asked", "stated", "n_words"])
+    def out() -> pa.RecordBatch:
+        names, size, mark = pa.concat_arrays(ids), np.concatenate(sizes), np.concatenate(marks)
+        found = np.concatenate(hashes) & ~BIGRAM
+        words = np.unique(found)
+        blobs = [squeezed(mark), squeezed(size.astype(np.uint32)), squeezed(np.searchsorted(words, found).astype(np.uint32)), squeezed(np.diff(words, prepend=np.uint64(0)))]
+        lists = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)
+        numbers = [len(found), int(size[mark].sum())]
+        return pa.RecordBatch.from_arrays([pa.array([(task << 32) + nth]), lists, *(pa.array([x], pa.binary()) for x in blobs), *(pa.array([x], pa.int64()) for x in numbers)], ["chunk", "ids", "marks", "sizes", "codes", "words", "tokens", "good_tokens"])
 
     for batch in batches:
         at = 0
@@ -120,10 +111,34 @@ def cut_chunks(batches: Iterator[pa.RecordBatch], buckets: int, chunk_tokens: in
             at += len(texts)
             held += len(found)
             if held >= chunk_tokens:
-                yield from out()
+                yield out()
                 ids, sizes, marks, hashes, held, nth = [], [], [], [], 0, nth + 1
     if ids:
-        yield from out()
+        yield out()
+
+
+def ask(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each chunk and bucket: the chunk's distinct words and then bigrams there, and how often it has them."""
+    edges = edges_of(buckets)
+    for batch in batches:
+        for chunk, *blobs in zip(*(batch[c] for c in ("chunk", "marks", "sizes", "codes", "words")), strict=True):
+            mark, size, codes, steps = (restored(x.as_py(), k) for x, k in zip(blobs, (np.bool_, np.uint32, np.uint32, np.uint64), strict=True))
+            words = np.cumsum(steps, dtype=np.uint64)[codes]
+            good = np.repeat(mark, size)
+            at, keys = bigram_keys(words, size.astype(np.int64))
+            each = [counted(words, good), counted(keys, good[at])]
+            cuts = [np.r_[0, np.searchsorted(k, edges), len(k)] for k, _, _ in each]
+            rows = []
+            for b in range(buckets):
+                mine = [slice(c[b], c[b + 1]) for c in cuts]
+                n_words = mine[0].stop - mine[0].start
+                if n_words or mine[1].stop > mine[1].start:
+                    asked = np.concatenate([np.diff(k[m], prepend=np.uint64(0)) for (k, _, _), m in zip(each, mine, strict=True)])
+                    stated = np.concatenate([e[i][m] for i in (1, 2) for e, m in zip(each, mine, strict=True)]).astype(np.uint32)
+                    rows.append((b, chunk.as_py(), squeezed(asked), squeezed(stated), n_words))
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "asked", "stated", "n_words"])
 
 
 def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,14 +219,14 @@ def score_documents(docs: DataFrame, good: Column, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(good, F.lit(False)).alias("good"), F.col(text_col).cast("binary").alias("raw"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     buckets = max(min_buckets, -(-size // bucket_bytes))
-    chunks = materialise(rows.mapInArrow(partial(cut_chunks, buckets=buckets, chunk_tokens=chunk_tokens), CHUNK.format(kind=kind)), "lm-chunks")
-    asked = chunks.where("bucket >= 0").select("bucket", "chunk", "asked", "stated", "n_words")
+    chunks = materialise(rows.mapInArrow(partial(cut_chunks, chunk_tokens=chunk_tokens), CHUNK.format(kind=kind)), "lm-chunks")
+    asked = chunks.select("chunk", "marks", "sizes", "codes", "words").mapInArrow(partial(ask, buckets=buckets), ASKED)
     answers = materialise(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "chunk long, bucket int, totals binary, distinct long"), "lm-answers")
-    tokens = chunks.where("bucket < 0").agg(F.sum("tokens"), F.sum("good_tokens")).first()
+    tokens = chunks.agg(F.sum("tokens"), F.sum("good_tokens")).first()
     vocabulary = (answers.agg(F.sum("distinct")).first()[0] or 0) + 1
     #: Without a good token nothing is scored.
     wholes = ((tokens[0] or 0) + vocabulary, tokens[1] + vocabulary if tokens[1] else -1)
-    own = chunks.where("bucket < 0").select("chunk", "bucket", "ids", "sizes", "codes", "words", F.lit(None).cast("binary").alias("totals"))
+    own = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "sizes", "codes", "words", F.lit(None).cast("binary").alias("totals"))
     both = own.unionByName(answers.select("chunk", "bucket", "totals"), allowMissingColumns=True)
     scored = both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(partial(score_chunks, buckets=buckets, wholes=wholes, mu=mu), f"id {kind}, n_tokens long, score double")
     return scored.withColumnRenamed("id", id_col)
