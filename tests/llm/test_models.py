@@ -1,5 +1,6 @@
 """Decontamination, LM scores, mixing, language ID, and the pipeline."""
 
+import hashlib
 import math
 import random
 import re
@@ -179,21 +180,58 @@ def test_lm_hot_bigram(spark):
     assert sorted(asked) == sorted(2 * n // 3 + 3 for n in tokens)  # each w and its bigram, and hot, pair, hot pair
 
 
+def taken_by_source(got):
+    return got.assign(taken=got["copies"] * got["size"]).groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+
+
 def test_mix(spark):
     rng = random.Random(4)
-    docs = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(900, None, "e"), (901, "x", "é"), (None, "y z", "a")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("copies", F.lit(9)).withColumn("target", F.lit(9))
+    docs = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", "c", "d", None])) for i in range(400)] + [(900, None, "e"), (901, "x", "é"), (None, "y z", "a"), (902, " ", "f")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({c: F.lit(9) for c in ("copies", "target", "key", "part", "row", "u")})
     got = mixing.mix_sources(frame).toPandas()
     assert len(got) == len(docs) and got.copies.max() <= 3
-    each = got.assign(taken=got["copies"] * got["size"]).groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    each = taken_by_source(got)
     assert each["size"].sum() == pytest.approx(each.target.sum()) and (each.target <= 3 * each["size"] + 1e-9).all()
     assert ((each.taken - each.target).abs() <= 15).all()
     again = mixing.mix_sources(frame.repartition(7)).toPandas()
     key = ["doc_id", "source", "size", "copies"]
     assert sorted(map(str, got[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+    carried = mixing.mix_sources(frame, carry=True).select("row.*", F.col("copies").alias("times")).toPandas()
+    assert list(carried.columns[:-1]) == frame.columns and sorted(map(str, carried[["doc_id", "source", "times"]].values.tolist())) == sorted(map(str, got[["doc_id", "source", "copies"]].values.tolist()))
     assert mixing.mix_sources(frame.limit(0)).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """Rows without ids, with one id, and equal in all columns are drawn one by one: each source comes within a document of its target."""
+    rows = [(None, " ".join(["w"] * 10), "a")] * 300 + [(None, " ".join(["w"] * 10), "b")] * 300 + [(5, f"one two {i % 7}", "c") for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix_sources(frame).toPandas()
+    each = taken_by_source(got)
+    assert len(got) == 900 and ((each.taken - each.target).abs() <= 10).all()
+    carried = mixing.mix_sources(frame, carry=True).groupBy("row.source").agg(F.sum("copies").alias("n")).toPandas()
+    assert dict(zip(carried.source, carried.n, strict=True)) == got.groupby("source")["copies"].sum().to_dict()
+
+
+def test_mix_draws_unequally(spark):
+    """Longer documents are taken more often, in one Pareto order of odds over inclusion odds."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(["w"] * rng.choice([3, 200])), "a") for i in range(3000)] + [(10_000 + i, "x " * 400, "b") for i in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.mix_sources(frame, weights=(1, 4)).toPandas()
+    mine = got[got.source == "a"]
+    target, words = mine.target.iloc[0], mine.groupby("size")["size"].sum()
+    rate = target / sum((8 + int(n).bit_length()) * w for n, w in words.items())
+    for n, each in mine.groupby("size"):
+        p = rate * (8 + int(n).bit_length())
+        assert p < 1 and each["copies"].max() <= 1
+        assert abs(each["copies"].mean() - p) < 4 * math.sqrt(p * (1 - p) / len(each)), n
+    u = lambda i, n: int(hashlib.md5(f"mix:{i}:{hashlib.md5(' '.join(['w'] * n).encode()).hexdigest()}:0".encode()).hexdigest()[:13], 16) / 2**52
+    p = {n: rate * (8 + int(n).bit_length()) for n in words.index}
+    order = sorted(mine.itertuples(), key=lambda r: u(r.doc_id, r.size) / (1 - u(r.doc_id, r.size)) / (p[r.size] / (1 - p[r.size])))
+    upto = np.cumsum([r.size for r in order]) <= target
+    assert [r.copies for r, head in zip(order, upto, strict=True) if head] == [1] * int(upto.sum()) and sum(r.copies for r, head in zip(order, upto, strict=True) if not head) <= 1
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang", 1000)
