@@ -120,8 +120,8 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialise(gone.select(*KEY, covered.alias("gone")), "lines-gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """docs with the lines of later copies deleted from the text, and __deleted, their number."""
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, deleted_col: str = "__deleted") -> DataFrame:
+    """docs with the lines of later copies deleted from the text, and deleted_col, their number, last (one of that name is replaced)."""
     gone = later_copies(docs, id_col, text_col, min_words)
     #: A merge join at any size: what is deleted grows with the corpus, so it is never broadcast.
     rows = docs.select(F.struct(*docs.columns).alias("d"), *key_columns(docs, id_col, text_col)).join(gone.hint("merge").alias("g"), KEY, "left")
@@ -132,14 +132,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dead)
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     new = F.when(F.col("g.gone").isNull(), text).otherwise(F.when(F.size("g.gone") == F.size(numbers), F.lit("")).otherwise(kept))
-    columns = [new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns]
-    return rows.select(*columns, F.coalesce(F.size("g.gone"), F.lit(0)).alias("__deleted"))
+    columns = [new.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns if c.lower() != deleted_col.lower()]
+    return rows.select(*columns, F.coalesce(F.size("g.gone"), F.lit(0)).alias(deleted_col))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without later copies of repeated runs of 50 words or more."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).withColumnRenamed("__deleted", "n_deleted")
+    return dedup_lines(docs, deleted_col="n_deleted")
 
 
 OP1_SQL = r"""

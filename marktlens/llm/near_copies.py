@@ -1,25 +1,30 @@
-"""Near copies by exact Jaccard similarity of word shingles, found through MinHash bands.
+"""Near copies: SimHash proposes, the whole sets of word shingles decide.
 
 A text is the set of hashes of its shingles of ``words`` words (one shingle
 of all its words where it has fewer). Equal sets are one node.
 
-1. Candidates: the least hashes under 96 permutations, in 24 bands of 4. Two
-   texts of similarity 0.8 share no band with a chance of 3e-6; the rate does
-   not move with the size of the input, since no bucket is cut off.
-2. Nodes of a bucket whose signatures agree in at least 58 of 96 places are
-   joined by a spanning forest (similarity 0.8 falls below with a chance of
-   5e-6), and their components gather what can be alike.
-3. Within a component every pair whose signatures agree in as many places
-   is verified on the whole sets: the intersection is at least ``least`` of
-   the union. Components of the verified links are the groups.
-
-Buckets and components of more than ``block`` nodes are cut into blocks, and
-every pair of blocks meets in one task. No links are emitted beyond a
-spanning forest of a task.
+1. A node's SimHash is taken over its distinct words, 192 bits of it. An
+   edit that changes five shingles changes one word, so texts whose shingles
+   have a Jaccard similarity of 0.8 differ in 4 of 64 bits on average, unlike
+   texts in some 25. The first 64 bits are probed by the generalised
+   pigeonhole of simhash.py, with radius ``k``; what meets in a bucket is
+   linked if it is within k there and within ``far`` on the other 128 bits.
+2. Components of these links gather what can be alike. Within a component
+   every pair that is within both radii is compared on the whole sets, which
+   are made again from the texts of those few: the intersection must be
+   ``least`` of the union. Components of the verified links are the groups.
+
+A pair of similarity 0.8 is missed with a chance of some 2 in 100 (its first
+64 bits differ in more than 8); a copy with fewer edits hardly ever, and a
+group's copies find each other by many ways. The rate does not move with the
+size of the input, since no bucket is cut off: buckets and components of more
+than ``block`` nodes are cut into blocks, and every pair of blocks meets in
+one task. No links are emitted beyond a spanning forest of a task.
 
 Defined results: null, empty and wordless texts have the empty set and are
-alike; letters of ASCII are taken in lower case; repeated rows are in one
-group; an empty table gives an empty table; only the named columns are read.
+alike; letters of ASCII are taken in lower case; equal texts are one row of
+the result, so repeated rows are in one group; an empty table gives an empty
+table; only the named column is read.
 """
 
 from __future__ import annotations
@@ -33,62 +38,71 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free, join_small, materialise
 from .graphs import components
+from .simhash import allocate, bit_moments, in_blocks, signatures
+from .words import batches_of, mixed, word_hashes
+
+SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+
+def digest_of(text: Column) -> Column:
+    """What tells texts apart: 128 bits of the whole text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a sequence of word hashes."""
+    if not len(words):
+        return words
+    width = min(width, len(words))
+    out = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        out = mixed(out * np.uint64(0xC2B2AE3D27D4EB4F) + words[k : len(out) + k])
+    return np.unique(out)
 
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BANDS, ROWS = 24, 4
-PLACES = BANDS * ROWS
-#: Places of two signatures that agree, at least, before their sets are compared.
-AGREE = 58
-_DRAW = np.random.default_rng(2018)
-#: Odd factors and offsets of the permutations of 64-bit hashes; their high halves are compared.
-FACTORS = _DRAW.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-OFFSETS = _DRAW.integers(0, 1 << 63, PLACES, dtype=np.uint64)
-
-
-def shingles(raw: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word shingles."""
-    parts = raw.translate(LOWER).split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    text, n = b" ".join(parts), max(1, len(parts) - words + 1)
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = [0, *(ends + 1).tolist()]
-    digest = xxhash.xxh64_intdigest
-    ends = ends.tolist()[words - 1 :] if len(parts) >= words else [len(text)]
-    return np.unique(np.fromiter((digest(text[a:b], 42) for a, b in zip(starts, ends)), np.uint64, n))  # noqa: B905
-
-
-def signature(found: np.ndarray) -> np.ndarray:
-    """The least values under each permutation, as 32 bits; zeros for the empty set."""
-    out = np.zeros(PLACES, np.uint32)
-    if len(found):
-        least = np.full(PLACES, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(found), 1024):
-            least = np.minimum(least, (found[at : at + 1024, None] * FACTORS + OFFSETS).min(axis=0))
-        out = (least >> np.uint64(32)).astype(np.uint32)
+
+def majority(hashes: np.ndarray) -> list[int]:
+    """The SimHash of a set of hashes as three signed longs."""
+    out = []
+    for salt in SALTS:
+        x = mixed(hashes ^ salt)
+        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.ones(len(x), np.float32) @ bits.astype(np.float32) if len(x) else np.zeros(64)
+        out.append(int(np.packbits(2 * counts > len(x), bitorder="little").view("<i8")[0]))
     return out
 
 
-def sketches(docs: DataFrame, key: Column, text_col: str, words: int) -> DataFrame:
-    """(key, node, bands, sig, hashes) per row: node names the set, sig holds a byte a place, hashes the set."""
+def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(digest, word hashes) of each text."""
+    for batch in batches:
+        digests, at = batch["digest"].to_pylist(), 0
+        for texts in batches_of([t.as_py() or b"" for t in batch["raw"]]):
+            hashes, sizes = word_hashes(texts)
+            for part in np.split(hashes, np.cumsum(sizes)[:-1]):
+                yield digests[at], part
+                at += 1
+
+
+def marks(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(digest, name of the set, three longs of SimHash)."""
+    rows = []
+
+    def out() -> pa.RecordBatch:
+        kinds = [pa.binary(), pa.binary(), *[pa.int64()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], ["digest", "name", "fp", "w1", "w2"])
+
+    for digest, found in texts_of(batches):
+        rows.append((digest, xxhash.xxh128_digest(shingles(found, words).tobytes()), *majority(np.unique(found))))
+        if len(rows) == 4096:
+            yield out()
+            rows = []
+    yield out()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, bands, sigs, sets = [], [], [], []
-            for v in batch["raw"]:
-                found = shingles(v.as_py() or b"", words)
-                sig = signature(found)
-                sets.append(found.tobytes())
-                nodes.append(xxhash.xxh64_intdigest(sets[-1]))
-                bands += [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(sig.reshape(BANDS, ROWS))]
-                sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(np.array(bands, np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(np.array(nodes, np.uint64).view(np.int64)), lists, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["key", "node", "bands", "sig", "hashes"])
 
-    rows = docs.select(key.alias("key"), F.col(text_col).cast("binary").alias("raw"))
-    return rows.mapInArrow(each, "key long, node long, bands array<long>, sig binary, hashes binary")
+def sets_of(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for digest, found in texts_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([digest], pa.binary()), pa.array([shingles(found, words).tobytes()], pa.binary())], ["digest", "hashes"])
 
 
 def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -96,36 +110,42 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def forest(nodes: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray] | None, least: float) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of one run's nodes: of those whose signatures agree, or with sets of those alike."""
+def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray] | None, k: int, far: int, least: float) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of one run's nodes: of those within both radii, and with sets, alike."""
     _, first = np.unique(nodes, return_index=True)
-    left, right, rest = [], [], first
-    while len(rest) > 1:  # breadth first: each popped node is held against what is unreached yet
-        front, rest = [rest[0]], rest[1:]
-        while front and len(rest):
-            x = front.pop()
-            near = (sigs[rest] == sigs[x]).sum(axis=1) >= AGREE
-            if sets is not None:
-                for i in np.flatnonzero(near):
-                    near[i] = alike(sets[x], sets[rest[i]], least)
-            if near.any():
-                new = rest[near]
-                left += [int(nodes[x])] * len(new)
-                right += nodes[new].tolist()
-                front += new.tolist()
-                rest = rest[~near]
-    return left, right
-
-
-def links_in_runs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (g, node, sig[, hashes]) come sorted by g; edges within each g go."""
+    nodes, fps = nodes[first], fps[first]
+    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]) <= k
+    left, right = np.nonzero(np.triu(near, 1))
+    within = np.bitwise_count(fps[left, 1:] ^ fps[right, 1:]).sum(axis=1) <= far
+    left, right = left[within], right[within]
+    root = list(range(len(nodes)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    a, b = [], []
+    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+        x, y = find(i), find(j)
+        if x != y and (sets is None or alike(sets[first[i]], sets[first[j]], least)):
+            root[max(x, y)] = min(x, y)
+            a.append(int(nodes[i]))
+            b.append(int(nodes[j]))
+    return a, b
+
+
+def links_in_runs(batches: Iterator[pa.RecordBatch], k: int, far: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (g, node, fp, w1, w2[, hashes]) come sorted by g; edges within each g go."""
     now, held = None, []
 
     def done() -> pa.RecordBatch:
         edges = ([], [])
         if len(held) > 1:
-            sets = [np.frombuffer(h[2], np.uint64) for h in held] if len(held[0]) > 2 else None
-            edges = forest(np.array([h[0] for h in held]), np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, PLACES), sets, least)
+            sets = [np.frombuffer(h[4], np.uint64) for h in held] if len(held[0]) > 4 else None
+            numbers = np.array([h[:4] for h in held], np.int64)
+            edges = forest(numbers[:, 0], numbers[:, 1:].view(np.uint64), sets, k, far, least)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in edges], ["a", "b"])
 
     for batch in batches:
@@ -138,23 +158,31 @@ def links_in_runs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[p
     yield done()
 
 
-def meet(rows: DataFrame, key: str, data: DataFrame, least: float, block: int) -> DataFrame:
+def meet(rows: DataFrame, key: str, data: DataFrame, block: int, **how) -> DataFrame:
     """(a, b): links between the nodes of rows (key, node) that share a key; data holds a node's columns."""
-    full = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = rows.join(full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), key)
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
-    rows = rows.withColumn("other", F.explode(others))
-    rows = rows.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "node")
-    rows = rows.join(data, "node").select("g", "node", *[c for c in data.columns if c != "node"])
-    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(partial(links_in_runs, least=least), "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, key: Column, text_col: str = "text", words: int = 5, least: float = 0.8, block: int = 1024) -> DataFrame:
-    """(key, group) for every row of docs: rows whose texts are linked share a group. key: a long."""
-    marked = materialise(sketches(docs, key, text_col, words), "near-sketches")
-    bands = marked.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("band"))
-    maybe = materialise(components(meet(bands, "band", marked.select("node", "sig").dropDuplicates(["node"]), least, block)), "near-maybe")
-    sets = marked.join(maybe.select("node"), "node", "left_semi").select("node", "sig", "hashes").dropDuplicates(["node"])
-    roots = components(meet(maybe.select("root", "node"), "root", sets, least, block))
-    return marked.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("group"))
+    rows = in_blocks(rows, key, "node", block).join(data, "node").select("g", "node", *[c for c in data.columns if c != "node"])
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(partial(links_in_runs, **how), "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, text_col: str = "text", words: int = 5, least: float = 0.8, k: int = 8, far: int = 28, block: int = 1024) -> DataFrame:
+    """(digest, group) for every distinct text of docs, digest being digest_of() it: texts that are linked share a group."""
+    how = {"k": k, "far": far, "least": least}
+    texts = docs.select(digest_of(F.col(text_col)).alias("digest"), F.col(text_col).cast("binary").alias("raw"))
+    marked = materialise(texts.mapInArrow(partial(marks, words=words), "digest binary, name binary, fp long, w1 long, w2 long"), "near-marks")
+    nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "w1", "w2")], F.min("digest").alias("digest"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    plan = allocate(*bit_moments(nodes.select("fp")), k)
+    points = nodes.select("node", "fp", "w1", "w2")
+    probes = nodes.select("node", F.explode(signatures(plan)).alias("key")) if plan else nodes.select("node", F.col("node").alias("key")).limit(0)
+    maybe = materialise(components(meet(probes, "key", points, block, **how)), "near-maybe")
+    some = nodes.select("node", "digest").join(maybe.select("node"), "node", "left_semi")
+    #: The texts of those few again, one of each.
+    again = join_small(texts, some.select("digest"), "digest", "left_semi", row_bytes=32).groupBy("digest").agg(F.first("raw").alias("raw"))
+    sets = again.select("digest", "raw").mapInArrow(partial(sets_of, words=words), "digest binary, hashes binary").join(some, "digest")
+    sets = materialise(sets.select("node", "hashes"), "near-sets")
+    links = meet(maybe.select("root", "node"), "root", points.join(sets, "node"), block, **how)
+    roots = components(links)
+    found = nodes.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("group"))
+    found = materialise(marked.select("digest", "name").distinct().join(found, "name").select("digest", "group"), "near-groups")
+    free(marked, nodes, maybe, sets)
+    return found

@@ -190,19 +190,27 @@ def links_in_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Reco
     yield done(kept_g, kept_fp)
 
 
+def in_blocks(rows: DataFrame, key: str, of: str, block: int) -> DataFrame:
+    """(g, of): rows (key, of) dealt so that all rows of a key meet in some g.
+
+    Buckets of one need no look; large ones are cut into blocks by a hash and
+    every pair of blocks meets, so no g has more than two blocks.
+    """
+    full = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    rows = rows.join(full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), key)
+    mine = F.pmod(F.xxhash64(F.lit("block"), of), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return rows.select(F.xxhash64(key, F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), of)
+
+
 def link(fps: DataFrame, k: int = 4, block: int = 1024) -> DataFrame:
     """(a, b): spanning edges between distinct fingerprints that differ in k bits or fewer. fps: a column fp, distinct."""
     plan = allocate(*bit_moments(fps), k)
     if not plan:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     rows = fps.select("fp", F.explode(signatures(plan)).alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    #: Buckets of one need no look; large ones are cut into blocks and every pair of blocks meets.
-    rows = rows.join(full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "key")
-    mine = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("blocks")).cast("int")
-    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
-    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))
-    rows = rows.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("g"), "fp")
+    rows = in_blocks(rows, "key", "fp", block)
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(partial(links_in_runs, k=k), "a long, b long").distinct()
 
 

@@ -1,5 +1,6 @@
 """Line dedup and SimHash near-dedup against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -168,14 +169,32 @@ def test_near_copies_against_all_pairs(spark, block):
         for j, b in sets.items():
             if i < j and 5 * len(a & b) >= 4 * len(a | b):
                 root[find(i)] = find(j)
+    frame = spark.createDataFrame(docs, DOCS).withColumns({"digest": F.lit(1), "node": F.lit(2)})
+    of = {bytes(r.digest): r.group for r in near_copies.near_copies(frame, block=block).collect()}
     got = {}
-    for r in near_copies.near_copies(spark.createDataFrame(docs, DOCS), F.col("doc_id"), block=block).collect():
-        got.setdefault(r.group, set()).add(r.key)
+    for i, text in docs:
+        got.setdefault(of[hashlib.md5((text or "").encode()).digest()], set()).add(i)
     want = {}
     for i in root:
         want.setdefault(find(i), set()).add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-    assert near_copies.near_copies(spark.createDataFrame([], DOCS), F.col("doc_id")).count() == 0
+    #: No text is in a group of others than the exact rule's; of the groups nearly all are found whole.
+    whole = {i: frozenset(g) for g in want.values() for i in g}
+    assert all(g <= whole[min(g)] for g in got.values())
+    pairs = lambda groups: sum(len(g) * (len(g) - 1) // 2 for g in groups)
+    assert pairs(got.values()) >= 0.97 * pairs(want.values())
+    assert near_copies.near_copies(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_near_stage_by_row(spark):
+    """Texts that share an id are judged apart, and of equal rows one stays, whatever further columns they have."""
+    rng = random.Random(3)
+    a, b, c, d = (" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(80)) for _ in range(4))
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (8, c, "x"), (8, d, "x"), (8, d, "w"), (None, b, "x"), (None, "alone", "x"), (9, None, "x"), (10, "", "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, `__key` string").withColumn("n_chars", F.lit(1))
+    got = corpus_pipeline.near_duplicate_stage(spark, frame, None)
+    assert got.columns == frame.columns
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=str) == sorted([(3, a, "x"), (7, b, "x"), (8, c, "x"), (8, d, "w"), (None, "alone", "x"), (9, None, "x")], key=str)
+    assert corpus_pipeline.near_duplicate_stage(spark, frame.limit(0), None).count() == 0
 
 
 def test_stage_drops_near_copies_far_in_bits(spark):
