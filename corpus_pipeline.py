@@ -2,10 +2,13 @@
 
 Each stage takes what its predecessor kept and calls one operator of
 marktlens.llm with its production parameters; all but the last return the
-columns of documents. Rows to drop are found as short keys and removed by an
-anti join, whose key side is broadcast only if its counted size allows.
-Texts that line dedup empties have the same empty set of shingles, so
-near-dedup keeps one of them. Equal rows are judged alike; near-dedup keeps one row of each group.
+columns of documents. A row is named by its id and 128 bits of its text, so
+texts that share an id are judged apart; equal rows are judged alike, and
+near-dedup keeps one of them. Rows to drop are found as such short names and
+removed by a join, whose other side is broadcast only if its counted size
+allows. Texts that line dedup empties have the same empty set of shingles, so
+near-dedup keeps one of them. Empty tables, null columns and further columns
+of any name pass through all stages.
 """
 
 from __future__ import annotations
@@ -13,57 +16,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marktlens.llm.common import join_small, materialise, table
-from marktlens.llm.decontaminate import find_leaks
+from marktlens.llm.common import join_small, materialise, table, unused
+from marktlens.llm.decontaminate import drop_leaks
 from marktlens.llm.language_id import identify
 from marktlens.llm.line_dedup import dedup_lines
 from marktlens.llm.mixing import mix_sources
-from marktlens.llm.near_copies import near_copies
+from marktlens.llm.near_copies import digest_of, near_copies
 
 
 def row_key() -> Column:
-    """A key of a row's id and text."""
-    return F.xxhash64("doc_id", "text")
+    """A name of a row's id and text: 128 bits."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.coalesce("text", F.lit("")))))
 
 
-def without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
-    """docs less the rows whose key is in gone (one column __key)."""
-    return join_small(docs.withColumn("__key", key), gone.distinct(), "__key", "left_anti").select(*docs.columns)
+def by_key(docs: DataFrame, key: Column, names: DataFrame, how: str) -> DataFrame:
+    """The rows of docs whose key is (left_semi) or is not (left_anti) among names (one column)."""
+    at = unused("__key", docs.columns)
+    return join_small(docs.withColumn(at, key), names.toDF(at).distinct(), at, how, row_bytes=48).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the stated language is evidence, and the source is the host."""
-    judged = identify(docs.withColumn("__key", row_key()), id_col="__key", declared=F.col("lang"), host=F.col("source"))
-    gone = materialise(judged.where("not kept").select("__key"), "stage-language")
-    return without(docs, gone, row_key())
+    """Documents whose language is known by their text and the habits of their source."""
+    named = docs.select(row_key().alias("name"), "text", "lang", "source")
+    gone = materialise(identify(named, id_col="name", host=F.col("source")).where("not kept").select("name"), "stage-language")
+    return by_key(docs, row_key(), gone, "left_anti")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines of later copies of repeated runs; n_chars follows the text."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("__deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    gone = unused("__deleted", docs.columns)
+    out = dedup_lines(docs, deleted_col=gone)
+    return out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8 or more): that of the smallest id."""
-    number = F.coalesce(F.col("doc_id"), row_key())
-    found = materialise(near_copies(docs, number).withColumnRenamed("key", "__number"), "stage-near")
-    least = found.groupBy("group").agg(F.min("__number").alias("component"))
-    found = found.join(least, "group")
-    gone = materialise(found.where("__number <> component").select(F.col("__number").alias("__key")), "stage-near-gone")
-    left = without(docs, gone, number)
-    #: Rows that share an id: one of them stays.
-    often = materialise(found.groupBy(F.col("__number").alias("__key")).agg(F.count("*").alias("n")).where("n > 1").select("__key"), "stage-near-often")
-    once = without(left, often, number)
-    repeated = join_small(left.withColumn("__key", number), often, "__key", "left_semi").dropDuplicates(["__key"])
-    return once.unionByName(repeated.select(*docs.columns))
+    """One document of each group of near duplicates (five words, similarity 0.8 or more): that of the smallest id, then text digest."""
+    groups = near_copies(docs)
+    rows = docs.select("doc_id", row_key().alias("name"), digest_of(F.col("text")).alias("digest")).join(groups, "digest")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "name"))
+    kept = rows.groupBy("group").agg(first.alias("first"), F.count("*").alias("n")).select("first.name", "n")
+    kept = materialise(kept, "stage-near")
+    left = by_key(docs, row_key(), kept.select("name"), "left_semi")
+    #: Rows equal in id and text: the first by all columns stays.
+    names = rows.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
+    often = materialise(names.join(kept, "name", "left_semi"), "stage-near-often")
+    once = by_key(left, row_key(), often, "left_anti")
+    repeated = by_key(left, row_key(), often, "left_semi")
+    one = repeated.groupBy(row_key().alias("name")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(one.select("row.*").select(*docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = find_leaks(docs.withColumn("__key", row_key()), table(spark, sf_dir, "benchmark"), id_col="__key")
-    gone = materialise(found.where(F.size("matches") > 0).select("__key"), "stage-benchmark")
-    return without(docs, gone, row_key())
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
