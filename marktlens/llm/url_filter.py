@@ -14,7 +14,8 @@ listed key at most (longer ones cannot be listed), and host + path.
 
 Defined results: a null url, or one without ``://``, has empty host and path,
 no keys, and the verdict allow; an empty table or list works; repeated rows
-stay; only the named columns are read.
+stay; further columns stay, but for those that have a result's name, which the
+result replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free, materialise, table
+from .common import free, materialise, table, unused
 
 #: (verdict, host, path)
 RULES = (
@@ -40,6 +41,8 @@ RULES = (
 )
 #: Blocked domains, subdomains included.
 LISTED = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "casino-win", "adult-x") for top in ("com", "net", "org"))
+#: Columns that judge_urls() adds.
+RESULT = ("host", "path", "rule", "listed", "verdict")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -159,9 +162,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=
     listed = listed.select("key").where("key <> ''").distinct()
     size = listed.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("key", r"\."))), F.lit(0))).first()
     labels = size[1]
-    base = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    rule, says = longest_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumns({"rule": rule, "says": says, "keys": keys_of(F.col("host"), F.col("path"), labels)})
+    taken = {c.lower() for c in RESULT} - {url_col.lower()}
+    base = pages.drop(*(c for c in pages.columns if c.lower() in taken))
+    base = base.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
+    rule, judged = longest_rule(F.col("host"), F.col("path"), rules)
+    says, keys = unused("__says", base.columns), unused("__keys", base.columns)
+    base = base.withColumns({"rule": rule, says: judged, keys: keys_of(F.col("host"), F.col("path"), labels)})
     universe = materialise(
         pages.select(host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).select(F.explode(keys_of(F.col("host"), F.col("path"), labels)).alias("key")).distinct(), "url-keys"
     )
@@ -173,10 +179,10 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=
     for n in range(shards):
         held = spark.sparkContext.broadcast(build_cascade(listed.where(shard(F.col("key")) == n), universe.where(shard(F.col("key")) == n)))
 
-        mine = F.col("keys") if shards == 1 else F.filter("keys", in_shard(n))
+        mine = F.col(keys) if shards == 1 else F.filter(keys, in_shard(n))
         hit = hit | any_listed(held)(mine)
     free(universe)
-    return base.withColumn("listed", hit).withColumn("verdict", F.coalesce("says", F.when(F.col("listed"), "block").otherwise("allow"))).drop("says", "keys")
+    return base.withColumn("listed", hit).withColumn("verdict", F.coalesce(says, F.when(F.col("listed"), "block").otherwise("allow"))).drop(says, keys)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
