@@ -4,11 +4,14 @@ Public vocabularies measure each whole text: characters per token (a byte-
 level vocabulary for many languages), the share of byte-fallback tokens and
 the entropy of the token distribution in bits (a piece vocabulary with byte
 fallback). A text outside its language's band is rejected; a language
-without a band takes that of its main script. A text of fewer than
-``min_tokens`` tokens is too short to measure and passes the bands.
+without a band takes that of its main script. What few tokens say is uncertain,
+so bands widen as 1 / sqrt(tokens): with s = ``slack`` / sqrt(n), characters
+per token may be less or more by the factor 1 + s, the byte share more by s
+and the entropy less by the share s. Texts of all sizes are judged by this rule.
 
 Rows are judged one by one, so nothing is shuffled. Defined results: a null
-text has no words and fails the base rules; a null language takes its
+or empty text has no tokens and no words, so it is in its band and fails the
+base rules; a null language takes its
 script's band; ties do not arise; repeated rows stay; an empty table gives an
 empty table; further columns are kept by rate_quality() unless their names
 are those it adds.
@@ -135,7 +138,7 @@ def measure(batches: Iterator[pa.RecordBatch], text_at: str, held) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *new], names=[*(batch.schema.names[i] for i in keep), *(x.split()[0] for x in f"{BASE}, {FERTILITY}".split(", "))])
 
 
-def rate_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bands=None, min_tokens: int = 64, min_words: int = 10, max_repeat_percent: int = 20, folder: str = TOKENIZERS) -> DataFrame:
+def rate_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bands=None, slack: float = 6.0, min_words: int = 10, max_repeat_percent: int = 20, folder: str = TOKENIZERS) -> DataFrame:
     """docs without the text, with the counts, the fertility measures, base_failed, in_band and kept."""
     bands = bands or BANDS
     spark = docs.sparkSession
@@ -148,11 +151,13 @@ def rate_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = rows.mapInArrow(partial(measure, text_at="__text", held=held), f"{schema}, {added}" if schema else added)
     band = lambda key: F.when(key.isin(*bands), key)
     key = F.coalesce(band(F.col(lang_col)), band(F.col("script")), F.lit("other"))
+    s = slack / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     fits = F.lit(False)
     for name, ((low, high), byte_share, entropy) in bands.items():
-        fits = fits | ((key == name) & F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= byte_share) & (F.col("entropy") >= entropy))
+        inside = F.col("chars_per_token").between(low / (1 + s), high * (1 + s)) & (F.col("byte_share") <= byte_share + s) & (F.col("entropy") >= entropy * (1 - s))
+        fits = fits | ((key == name) & inside)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed).withColumn("in_band", (F.col("n_tokens") < min_tokens) | F.coalesce(fits, F.lit(False)))
+    rows = rows.withColumn("base_failed", failed).withColumn("in_band", (F.col("n_tokens") == 0) | F.coalesce(fits, F.lit(False)))
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
 
 
