@@ -3,11 +3,14 @@
 Four sources of evidence are multiplied per document:
 
 * text: a multinomial model of byte trigrams, fitted to at most
-  ``train_rows`` labelled documents (those of smallest hash); the log
-  likelihood of the whole text counts with weight ``text_weight``, since
-  overlapping trigrams are not independent;
+  ``rows_per_language`` labelled documents of each label (those of smallest
+  hash), so a rare language has its share; the log likelihood of the whole
+  text counts with weight ``text_weight``, since overlapping trigrams are not
+  independent;
 * declared language (markup or metadata): P(declared | language), estimated
-  over all documents from the text posteriors, smoothed;
+  over all documents from the text posteriors, smoothed. Where the label is
+  the declared language too, it is no evidence for the rows that the text model
+  was fitted to;
 * address suffix: P(suffix | language), in the same way;
 * host: a hierarchical prior. A host's language counts are smoothed towards
   those of its parent domain, and these towards all documents'
@@ -33,10 +36,11 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free, join_small, materialise, table
+from .url_filter import host_of
 
 CELLS = 1 << 16
 #: Bytes as the model sees them: letters lower-cased, what is above ASCII as it is, all else a gap.
@@ -61,20 +65,31 @@ def count_cells(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iter
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total.ravel()[at], pa.int64())], ["cell", "n"])
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """(languages by name, CELLS x languages log likelihood ratios to chance), from at most train_rows labelled rows."""
-    labelled = docs.where(F.col(label_col).isNotNull())
-    chosen = labelled.select(F.col(id_col).alias("chosen")).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(train_rows)
-    ids = [r[0] for r in chosen.distinct().collect()]  # at most train_rows
-    rows = labelled.where(F.col(id_col).isin(ids)).select(F.col(text_col).cast("binary").alias("raw"), F.col(label_col).alias("lang"))
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
+def draw(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A row's place in the order of samples, from 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), id_col, text_col), 11) / float(1 << 53)
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, rows_per_language: int = 500, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, dict[str, float]]:
+    """(languages by name, CELLS x languages log likelihood ratios to chance, the last place in the sample's order by language)."""
+    rows = docs.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("lang"), F.col(text_col).cast("binary").alias("raw"), draw(docs, id_col, text_col).alias("at"))
+    sizes = dict(rows.groupBy("lang").agg(F.count("*")).collect())  # a row a language
+    languages = sorted(sizes)
+    if not languages:
+        return [], np.zeros((CELLS, 0), np.float32), {}
+    #: Some twice as many as wanted are drawn by their hash, whatever a language's size; of these, the first are taken.
+    shares = F.create_map(*[F.lit(x) for name in languages for x in (name, (2.0 * rows_per_language + 50) / sizes[name])])
+    few = rows.where(F.col("at") < F.try_element_at(shares, "lang"))
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("at", "raw"))).where(F.col("nth") <= rows_per_language)
+    few = materialise(few.drop("nth"), "lid-sample")
+    cuts = dict(few.groupBy("lang").agg(F.max("at")).collect())
     counts = np.full((len(languages), CELLS), smoothing)
-    if languages:
-        cells = rows.mapInArrow(partial(count_cells, languages=languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        counts.ravel()[cells["cell"].to_numpy()] += cells["n"].to_numpy()
+    cells = few.select("raw", "lang").mapInArrow(partial(count_cells, languages=languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts.ravel()[cells["cell"].to_numpy()] += cells["n"].to_numpy()
+    free(few)
     shares = counts / counts.sum(axis=1, keepdims=True)
     #: Against the mean of the languages and an even spread: a text of no language gains nothing.
-    return languages, np.ascontiguousarray((np.log(shares) - np.log(1 / CELLS)).T.astype(np.float32))
+    return languages, np.ascontiguousarray((np.log(shares) - np.log(1 / CELLS)).T.astype(np.float32)), cuts
 
 
 def score_texts(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
@@ -116,15 +131,19 @@ def parent_of(host: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(host), r"([^.]+\.[^.]+)$", 1), F.lit(""))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", declared: Column | None = None, host: Column | None = None, train_rows: int = 2000, text_weight: float = 0.2, prior_rows: float = 20.0, min_posterior: float = 0.5, wanted: tuple[str, ...] | None = None, model=None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str | None = "lang", declared: Column | None = None, host: Column | None = None, rows_per_language: int = 500, text_weight: float = 0.2, prior_rows: float = 20.0, min_posterior: float = 0.5, wanted: tuple[str, ...] | None = None, model=None) -> DataFrame:
     """(id_col, lang, posterior, kept) for every row. declared and host are column expressions over docs.
 
-    model: what fit() returned for other rows; by default it is fitted to label_col.
+    model: what fit() returned for other rows; by default it is fitted to
+    label_col, and rows of its sample have no declared language.
     """
     spark = docs.sparkSession
-    languages, ratios = model or fit(docs, id_col, text_col, label_col, train_rows)
+    languages, ratios, cuts = model or fit(docs, id_col, text_col, label_col, rows_per_language)
     n = len(languages)
     none = F.lit(None).cast("string")
+    if model is None and declared is not None and cuts:
+        last = F.try_element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col(label_col))
+        declared = F.when(F.coalesce(draw(docs, id_col, text_col) > last, F.lit(True)), declared)
     if not n:
         return docs.select(id_col, F.lit("und").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
     held = spark.sparkContext.broadcast(ratios)
@@ -161,7 +180,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     above_size = reduce(add, [F.coalesce(F.col(f"a{i}"), F.lit(0.0)) for i in range(n)])
     above = [(F.coalesce(F.col(f"a{i}"), F.lit(0.0)) + prior_rows * base[i]) / (above_size + prior_rows) for i in range(n)]
     hosts = hosts.select("host", F.array(*[F.log(x) for x in smoothed(hosts, above)]).alias("host_ll"))
-    fused = scored.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
+    fused = scored
+    for key, facts in (("host", hosts), ("declared", likelihood("declared")), ("suffix", likelihood("suffix"))):
+        fused = join_small(fused, facts, key, "left", row_bytes=8 * n + 64)
 
     neutral = F.array_repeat(F.lit(0.0), n)
     together = lambda x, y: F.zip_with(x, y, lambda p, q: p + q)
@@ -181,7 +202,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
+def text_of(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+
+
+def identify_pages(pages: DataFrame, model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
+    """(id_col, lang, posterior, kept) of raw pages by all evidence: text, markup language, address suffix, host and parent domain."""
+    rows = pages.select(F.col(id_col).alias("id"), text_of(F.col(html_col)).alias("text"), markup_language(F.col(html_col)).alias("declared"), F.nullif(host_of(F.col(url_col)), F.lit("")).alias("host"))
+    return identify(rows, "id", "text", None, F.col("declared"), F.col("host"), model=model, **options).withColumnRenamed("id", id_col)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's language; its stated language is the declared one, and its source the host."""
+    """Every document's language; its stated language is the declared one (but for the model's sample), and its source the host."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return identify(docs, declared=F.col("lang"), host=F.col("source"))
