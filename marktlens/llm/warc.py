@@ -11,13 +11,15 @@ being relative to its frame.
 Of records with equal payloads of at least ``min_dedup_bytes``, the one with
 the largest id is the response and the others are revisits that refer to it.
 Payloads are grouped by digest after a pre-aggregation, so a payload that a
-third of all pages share is one row of the smaller side of a join. Each task
+third of all pages share is one row of the smaller side of a join, which is
+broadcast where its counted size allows: then no payload is shuffled. Reading
+deals frames to as many tasks as the records' bytes ask for. Each task
 streams its own bundles into the shared folder under a name of its attempt;
 the index, written afterwards, names the bundles that count, so what lost
 tasks left behind is never read.
 
-Defined results: a null payload is empty; a null url or id is written as an
-empty field or "null" and read back as null; repeated rows of one id and payload
+Defined results: a null payload is empty; a null url has no
+field and a null id is written as "null", and both are read back as null; repeated rows of one id and payload
 are all responses if that id is the largest; equal payloads without any id
 are all responses; an empty table writes no bundle; further columns are
 ignored.
@@ -39,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, table
+from .common import fresh_path, join_small, materialise, table
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -68,7 +70,7 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, sha1: str,
     fields = [
         ("WARC-Record-ID", f"<{URN}{'null' if page_id is None else page_id}>"),
         ("WARC-Date", date),
-        ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
+        *([] if url is None else [("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A"))]),
         ("WARC-Payload-Digest", f"sha1:{sha1}"),
         ("WARC-Payload-Length", str(len(payload))),
     ]
@@ -145,7 +147,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     version, *lines = head.decode().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
+    fields = {k.lower(): v[1:] for k, _, v in (x.partition(":") for x in lines)}
     block = rest[: int(fields["content-length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("record length")
@@ -177,9 +179,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     """Write bundles into folder and return their index (id, bundle, frame, offset, length), itself kept there."""
     folder = folder or fresh_path(pages.sparkSession, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"sha": F.sha2("payload", 256), "bytes": F.octet_length("payload")})
+    rows = rows.withColumns({"sha": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload")})
     held = rows.where(F.col("bytes") >= min_dedup_bytes).groupBy("sha").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(held, "sha", "left")
+    rows = join_small(rows, held, "sha", "left", row_bytes=56)
     refers = F.when((F.col("bytes") >= min_dedup_bytes) & ~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
     rows = rows.select("id", "url", "payload", refers.alias("refers_to"))
     task = partial(write_task, folder=folder, frame_bytes=frame_bytes, bundle_bytes=bundle_bytes, level=level, date=date)
@@ -207,17 +209,18 @@ def read_task(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator
             if kind == "response" and digest(payload) != said:
                 raise ValueError(f"{fields['warc-record-id']}: payload digest")
             size = len(payload) if kind == "response" else int(fields["warc-payload-length"])
-            url = fields["warc-target-uri"]
-            rows.append((number(fields["warc-record-id"]), url or None, payload if with_payload and kind == "response" else None, size, said, kind, number(fields.get("warc-refers-to"))))
+            rows.append((number(fields["warc-record-id"]), fields.get("warc-target-uri"), payload if with_payload and kind == "response" else None, size, said, kind, number(fields.get("warc-refers-to"))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
     for b in bundles.values():
         b.close()
 
 
-def read_warc(index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Every record that index names, read back from its frame; a frame is unpacked once."""
-    rows = index.select("bundle", "frame", "offset", "length").repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
+def read_warc(index: DataFrame, with_payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
+    """Every record that index names, read back from its frame; a frame is unpacked once, and a task reads some task_bytes of records."""
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // task_bytes), index.sparkSession.sparkContext.defaultParallelism)
+    rows = index.select("bundle", "frame", "offset", "length").repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
     return rows.mapInArrow(partial(read_task, with_payload=with_payload), READ)
 
 
