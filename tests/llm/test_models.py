@@ -256,6 +256,73 @@ def test_language_evidence(spark):
     assert [r[0] for r in html.select(language_id.markup_language(F.col("h"))).collect()] == ["de", None, None]
 
 
+def fused_by_hand(rows, languages, weight=0.2, prior=20.0):
+    """{id: (language, posterior)} from (id, text log likelihoods, trigrams, declared, host): the fusion with dictionaries."""
+    n, speaks = len(languages), {}
+    for i, ll, grams, *_ in rows:
+        top = max(ll)
+        raised = [math.exp(weight * (x - top)) for x in ll]
+        speaks[i] = [x / sum(raised) for x in raised] if grams and top > 0 else None
+    sums = lambda key: {k: [sum(speaks[r[0]][j] for r in rows if key(r) == k and speaks[r[0]]) for j in range(n)] for k in {key(r) for r in rows} if k is not None}
+    parent = lambda h: ".".join(h.lower().split(".")[-2:]) if h and "." in h else None
+    suffix = lambda h: h.lower().split(".")[-1] if h and "." in h else None
+    base = [x + 1 for x in sums(lambda r: "all")["all"]]
+    base = [x / sum(base) for x in base]
+    smooth = lambda c, up: [(c[j] + prior * up[j]) / (sum(c) + prior) for j in range(n)]
+    hosts, parents = sums(lambda r: r[4]), sums(lambda r: parent(r[4]))
+    of_host = {h: smooth(c, smooth(parents.get(parent(h), [0.0] * n), base)) for h, c in hosts.items()}
+
+    def rates(counts):
+        whole = [sum(c[j] for c in counts.values()) for j in range(n)]
+        return {k: [(c[j] + 0.5) / (whole[j] + 1) for j in range(n)] for k, c in counts.items()}
+
+    declared, suffixes = rates(sums(lambda r: r[3] and r[3].lower())), rates(sums(lambda r: suffix(r[4])))
+    out = {}
+    for i, ll, _, said, host in rows:
+        logs = [math.log(x) for x in of_host.get(host, base)]
+        for known, key in ((declared, said and said.lower()), (suffixes, suffix(host))):
+            logs = [x + math.log(p) for x, p in zip(logs, known[key], strict=True)] if key in known else logs
+        logs = [x + weight * y for x, y in zip(logs, ll, strict=True)] if speaks[i] else logs
+        raised = [math.exp(x - max(logs)) for x in logs]
+        best = max(raised) / sum(raised)
+        out[i] = (languages[raised.index(max(raised))], best) if speaks[i] else ("und", 0.0)
+    return out
+
+
+def test_pages_by_all_evidence(spark):
+    """Text, markup language, suffix, host and parent domain against the fusion by hand."""
+    docs, pages = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "pages"))
+    model = language_id.fit(docs, "doc_id", "text", "lang", 200)
+    extra = [(90_001, "http://a.example.fr/", "<html lang=FR><p>la de</p>"), (90_002, "no address", "<html>"), (90_003, None, None), (90_004, "http://x.example.de/", "<script>var the = of</script><html lang='de'>und ist nicht"), (90_004, "http://x.example.de/", "<html>!!")]
+    pages = pages.unionByName(spark.createDataFrame(extra, pages.schema)).withColumn("host", F.lit("clash"))
+    got = sorted((r.page_id, r.lang, r.posterior) for r in language_id.identify_pages(pages, model).collect())
+    rows = []
+    for nth, r in enumerate(pages.collect()):
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", r.html or "")
+        cells = language_id.trigrams(text.encode())
+        ll = model[1][cells].astype(float).sum(axis=0).tolist()
+        said = re.search(r"""(?i)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,8})""", r.html or "")
+        host = re.search("://([^/?#]*)", r.url or "")
+        rows.append(((r.page_id, nth), ll, len(cells), said and said[1].lower(), (host and host[1].lower()) or None))
+    want = sorted((i, lang, p) for (i, _), (lang, p) in fused_by_hand(rows, model[0]).items())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-5)
+
+
+def test_language_sample_is_stratified(spark):
+    """A language of a few rows among many is known; the sample has a bound a language, whatever ids and rows repeat."""
+    words = {"aa": "lorem ipsum dolor sit amet", "bb": "zwolf boxkampfer jagen viktor quer", "cc": "pchnac w te lodz jeza"}
+    rng = random.Random(2)
+    say = lambda x: " ".join(rng.choices(words[x].split(), k=30))
+    docs = [(i, say("aa"), "aa") for i in range(3000)] + [(1, "same text", "bb")] * 900 + [(5000 + i, say("bb"), "bb") for i in range(100)] + [(9000 + i, say("cc"), "cc") for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("at", F.lit(1))
+    languages, _, cuts = language_id.fit(frame, "doc_id", "text", "lang", 50)
+    assert languages == ["aa", "bb", "cc"] and 50 <= frame.where("lang = 'aa'").where(language_id.draw(frame, "doc_id", "text") <= cuts["aa"]).count() <= 50
+    got = {r.doc_id: r.lang for r in language_id.identify(frame, declared=F.col("lang"), rows_per_language=50).collect()}
+    assert all(got[9000 + i] == "cc" for i in range(3)) and got[7] == "aa"
+    long = spark.createDataFrame([(1, " ".join(say("aa") for _ in range(20_000)), "aa")] * 2, "doc_id long, text string, lang string")
+    assert [r.lang for r in language_id.identify(long, model=(languages, *language_id.fit(frame, "doc_id", "text", "lang", 50)[1:])).collect()] == ["aa", "aa"]
+
+
 @pytest.fixture(scope="module")
 def con():
     found = duckdb.connect()

@@ -34,6 +34,14 @@ def test_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, listed.limit(0), rules=()).collect()} == {"allow"}
 
 
+def test_rules_beside_clashing_columns(spark):
+    """Columns with the names of results give way to them; all others stay."""
+    pages = spark.createDataFrame([(1, "http://x.org/p", "mine", "own", 2, 3, 4, 5, 6)], "page_id long, url string, says string, keys string, HOST int, path int, rule int, verdict int, __says int")
+    got = url_filter.judge_urls(pages, spark.createDataFrame([("x.org",)], "key string"))
+    assert got.columns == ["page_id", "url", "says", "keys", "__says", "host", "path", "rule", "listed", "verdict"]
+    assert tuple(got.first()) == (1, "http://x.org/p", "mine", "own", 6, "x.org", "/p", "org/", True, "allow")
+
+
 @pytest.mark.parametrize("most", [8 << 20, 300])
 def test_cascade_is_exact(spark, most):
     rng = random.Random(7)
@@ -68,10 +76,60 @@ def test_quality(spark):
     assert got[1].kept and got[1].in_band and got[1].n_words == len(docs[0][1].split())
     assert not got[2].kept and got[2].n_words == 0 and got[2].base_failed
     assert got[3].base_failed and not got[3].in_band and not got[4].kept
-    assert got[5].base_failed and got[5].in_band and got[6].script == "Cyrillic"
+    assert got[5].base_failed and got[6].script == "Cyrillic"
     assert fertility.rate_quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def merged(raw, ranks):
+    """Byte pairs merged by hand: always the first pair of least rank."""
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while True:
+        pairs = [(ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]  # noqa: B905
+        rank, i = min(pairs, default=(1 << 30, 0))
+        if rank == 1 << 30:
+            return parts
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_fertility_by_hand(spark):
+    """Characters a token, byte share and entropy, and the verdict, against merges and counts by hand."""
+    import base64
+    from collections import Counter
+    from math import log2, sqrt
+    from pathlib import Path
+
+    import regex
+    import sentencepiece
+
+    folder = Path(fertility.TOKENIZERS)
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in (folder / fertility.BYTE_VOCABULARY).read_bytes().splitlines())}
+    pieces = sentencepiece.SentencePieceProcessor(model_file=str(folder / fertility.PIECE_VOCABULARY))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).select("doc_id", "text", "lang")
+    odd = [(-1, "", "en"), (-2, None, None), (-3, "a", "fr"), (-4, "##", None), (-5, "привет мир", "ru"), (-6, "日本語の文", None), (-7, "word " * 60_000, "en"), (-7, "x", "xx"), (-8, "%%% ### $$$ " * 90, "de")]
+    frame = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    got = {(r.doc_id, r.text_md5): r for r in fertility.rate_quality(frame.withColumn("text_md5", F.md5("text"))).collect()}
+    assert len(got) == frame.count()
+    for r in frame.collect():
+        mine, text = got[r.doc_id, r.text and hashlib.md5(r.text.encode()).hexdigest() or (None if r.text is None else hashlib.md5(b"").hexdigest())], r.text or ""
+        if len(text) > 20_000:
+            assert mine.n_words == 60_000
+            continue
+        n = sum(len(merged(w.encode(), ranks)) for w in regex.findall(fertility.PATTERN, text))
+        found = Counter(pieces.encode(text, out_type=str))
+        whole = sum(found.values())
+        assert mine.n_tokens == n
+        if not n or not whole:
+            assert mine.in_band == (n == 0) and mine.entropy is None
+            continue
+        share = sum(c for p, c in found.items() if regex.fullmatch("<0x[0-9A-F]{2}>", p)) / whole
+        entropy = -sum(c / whole * log2(c / whole) for c in found.values())
+        assert (mine.chars_per_token, mine.byte_share, mine.entropy) == pytest.approx((len(text) / n, share, entropy))
+        (low, high), most, least = fertility.BANDS[r.lang if r.lang in fertility.BANDS else mine.script if mine.script in fertility.BANDS else "other"]
+        s = 6 / sqrt(n)
+        assert mine.in_band == (low / (1 + s) <= len(text) / n <= high * (1 + s) and share <= most + s and entropy >= least * (1 - s)), r.doc_id
+        assert mine.kept == (mine.in_band and not mine.base_failed)
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u\r\n", None), (2, None, ""), (3, "x", "é\r\n\r\nWARC/1.1"), (7, "y", "é\r\n\r\nWARC/1.1"), (7, "y", "é\r\n\r\nWARC/1.1"), (None, "z", "é\r\n\r\nWARC/1.1"), (None, "q", "zz"), (9, "big", "b" * 200_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit(1))
@@ -81,6 +139,8 @@ def test_warc_round_trip(spark, tmp_path):
         text = "é\r\n\r\nWARC/1.1".encode()
         want = [("1", "revisit", 2, 0, None) if least == 0 else ("1", "response", None, 0, b""), ("2", "response", None, 0, b""), ("3", "revisit", 7, len(text), None), ("7", "response", None, len(text), text), ("7", "response", None, len(text), text), ("9", "response", None, 200_000, b"b" * 200_000), ("None", "response", None, 2, b"zz"), ("None", "revisit", 7, len(text), None)]
         assert sorted(got, key=str) == sorted(want, key=str)
+    urls = {r.url for r in warc.read_warc(warc.write_warc(spark.createDataFrame([(1, "", "a"), (2, None, "b"), (3, " x ", "c")], "page_id long, url string, html string"), str(tmp_path / "urls"))).collect()}
+    assert urls == {"", None, " x "}
     bundle = index.where("id = 9").first()
     reader = warc.BundleReader(bundle.bundle)
     raw = reader.frame(bundle.frame)[bundle.offset : bundle.offset + bundle.length]
@@ -108,6 +168,8 @@ def test_chat_round_trip(spark):
     for conv in {r[0] for r in rows}:
         want = sorted(((-1 if t is None else t, role or "", x or "") for c, t, role, x in rows if c == conv))
         assert [(t.role, t.text) for t in got[conv].turns] == [w[1:] for w in want], conv
+        plain = lambda x: re.sub(r"\\([\s\S])", r"\1", x)
+        assert [plain(got[conv].formatted[s.start : s.start + s.length]) for s in got[conv].spans] == [w[2] for w in want if w[1] == "assistant"], conv
         for w in want:
             assert got[conv].level > 0 or not ("</turn>" in w[2] or "###" in w[2])
     assert chat.format_chats(frame.limit(0)).count() == 0
