@@ -2,7 +2,6 @@
 
 import random
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,19 +24,35 @@ def products(spark, data):
     return spark.createDataFrame([(i, n, b, n, "", a) for i, n, b, a in data], PRODUCTS)
 
 
-def test_matrix(spark):
-    ps = products(spark, [("1", "Zeta", "", True), ("2", "beta", "", False)])
-    ls = listings(spark, [("a1", "A", "z", "1", ""), ("a2", "A", "z", "1", ""), ("b1", "B", "z", "1", ""), ("a3", "A", "z", "2", ""), ("x", "B", "z", "", "")])
-    prices = spark.createDataFrame([("a1", 1, 50.0, 1), ("a1", 2, 100.0, 2), ("a2", 3, 95.0, 1), ("b1", 4, 90.0, 1), ("a3", 5, 200.0, 1)], "provider_product_id string, id long, price double, created long")
-    latest = matrix.latest_prices(prices)
-    assert rows(latest, "provider_product_id", "price") == [("a1", 100.0), ("a2", 95.0), ("a3", 200.0), ("b1", 90.0)]
-    found = matrix.cells(ps, ls, latest)
-    kept = matrix.rows(ps, found)
-    assert [(r.product_id, r.prices) for r in kept.collect()] == [("1", {"A": 95.0, "B": 90.0})]
-    order = matrix.columns(spark.createDataFrame([("C", "c.com"), ("B", "b.com"), ("A", "z.com")], "id string, domain string"), kept)
-    assert [r.domain for r in order.orderBy("position").collect()] == ["b.com", "z.com", "c.com"]
-    assert [r.line for r in matrix.csv_lines(kept, order).collect()] == ["Zeta,90,95,"]
-    assert [(r.provider_id, r.place) for r in matrix.cheapest(found).where("product_id = '1'").orderBy("place").collect()] == [("B", 1), ("A", 2)]
+def test_matrix_against_dictionaries(spark):
+    """Random listings and prices: latest price, least per cell, rows of two providers or more, column order, lines, places."""
+    rng = random.Random(21)
+    shops = {f"s{i}": f"{rng.choice('qrstuv')}{i}.test" for i in range(6)}
+    goods = {f"g{i}": f"{rng.choice(['Lamp', 'rug', 'Vase'])} {i}" for i in range(25)}
+    ls = [(f"l{i}", rng.choice(list(shops)), "n", rng.choice([*goods, None, "", "gone"]), "") for i in range(120)]
+    seen = [(f"l{rng.randint(0, 130)}", n, rng.randint(2, 4000) / 4, rng.randint(1, 9)) for n in range(400)]
+    last, cell = {}, {}
+    for pp, n, price, at in sorted(seen, key=lambda x: (x[3], x[1])):
+        last[pp] = price
+    for i, shop, _, good, _ in ls:
+        if good in goods and i in last:
+            cell[good, shop] = min(cell.get((good, shop), 1e9), last[i])
+    kept = {g: {s: v for (x, s), v in cell.items() if x == g} for g in goods}
+    kept = {g: v for g, v in kept.items() if len(v) >= 2}
+    order = sorted(shops, key=lambda s: (-sum(s in v for v in kept.values()), shops[s]))
+    ps = products(spark, [(g, n, "", rng.random() < 0.5) for g, n in goods.items()])
+    latest = matrix.latest_prices(spark.createDataFrame(seen, "provider_product_id string, id long, price double, created long"))
+    assert dict(rows(latest, "provider_product_id", "price")) == last
+    found = matrix.cells(ps, listings(spark, ls), latest)
+    assert {(r.product_id, r.provider_id): r.price for r in found.collect()} == cell
+    rows_ = matrix.rows(ps, found)
+    assert {r.product_id: r.prices for r in rows_.collect()} == kept
+    columns = matrix.columns(spark.createDataFrame(list(shops.items()), "id string, domain string"), rows_)
+    assert [r.provider_id for r in columns.orderBy("position").collect()] == order
+    show = lambda v: "" if v is None else f"{v:.10f}".rstrip("0").rstrip(".")
+    assert {r.line for r in matrix.csv_lines(rows_, columns).collect()} == {",".join([goods[g], *(show(v.get(s)) for s in order)]) for g, v in kept.items()}
+    places = {(r.product_id, r.provider_id): r.place for r in matrix.cheapest(found).collect()}
+    assert places == {(g, s): 1 + sum(w < v for (x, _), w in cell.items() if x == g) for (g, s), v in cell.items()}
 
 
 def test_history(spark):
@@ -48,14 +63,14 @@ def test_history(spark):
 
 
 def test_brands(spark):
-    table = spark.createDataFrame([("b1", "Moschino"), ("b2", "Hugo Boss"), ("b3", "Hugo")], "id string, name string")
-    ps = products(spark, [("1", "x", "Moschino", True), ("2", "x", " Nobody ", True)])
-    ls = listings(spark, [("l1", "A", "whatever", "1", ""), ("l2", "A", "Boss by hugo 50 ml", None, "b3"), ("l3", "A", "plain", "", None), ("l4", "A", "Hugo", "2", "b1")])
+    table = spark.createDataFrame([("b1", "Ozelle"), ("b2", "Trill Moon"), ("b3", "Trill")], "id string, name string")
+    ps = products(spark, [("1", "x", "Ozelle", True), ("2", "x", " Unheard ", True)])
+    ls = listings(spark, [("l1", "A", "no such word", "1", ""), ("l2", "A", "30 moon, by TRILL", None, "b3"), ("l3", "A", "grey", "", None), ("l4", "A", "Trill", "2", "b1")])
     assert rows(brands.assign(ls, ps, table), "id", "target", "via", "changed") == [("l1", "b1", "product", True), ("l2", "b2", "fuzzy", True), ("l3", None, "unmatched", False), ("l4", None, "unmatched", True)]
     coverage = names.brand_coverage(F.col("name"), F.col("brand"))
     missing = brands.missing(ls, ps, spark.createDataFrame([("B", "d")], "id string, domain string"), coverage)
     assert rows(missing, "id", "domain") == [("l1", ""), ("l4", "")]
-    assert rows(brands.known_brands(table, ps), "name") == [("Hugo",), ("Hugo Boss",), ("Moschino",), ("Nobody",)]
+    assert rows(brands.known_brands(table, ps), "name") == [("Ozelle",), ("Trill",), ("Trill Moon",), ("Unheard",)]
     assert rows(brands.unbranded(ls, table, ps), "id") == [("l1",), ("l3",)]
     assert brands.unbranded(ls, table.limit(0), ps.limit(0)).count() == 0
 
@@ -72,16 +87,16 @@ def test_covered_against_nested_loop(spark):
 
 
 def test_proposals(spark):
-    table = spark.createDataFrame([("b1", "Dior")], "id string, name string")
-    ps = products(spark, [("1", "Dior Sauvage 100 ml", "Dior", True)])
-    ls = listings(spark, [("1", "A", "linked", "1", ""), ("2", "A", "Dior Sauvage 100ml", "", ""), ("3", "A", "DIOR Fahrenheit 50", None, ""), ("4", "A", "fahrenheit dior 50 ML", None, ""), ("5", "A", "100 ml", None, ""), ("6", "A", "Cool Water  ", None, "")])
+    table = spark.createDataFrame([("b1", "Quil")], "id string, name string")
+    ps = products(spark, [("1", "Quil Amber 40 ml", "Quil", True)])
+    ls = listings(spark, [("1", "A", "has one", "1", ""), ("2", "A", "Quil Amber 40ml", "", ""), ("3", "A", "QUIL Basil 75", None, ""), ("4", "A", "basil quil 75 ML", None, ""), ("5", "A", "40 ml", None, ""), ("6", "A", "Green Tea  ", None, "")])
     got = brands.proposals(ls, ps, table)
-    assert rows(got, "provider_product_id", "brand", "product_name", "size", "name") == [("3", "Dior", "Fahrenheit", "50 ml", "Dior Fahrenheit 50 ml"), ("6", "", "Cool Water", "", "Cool Water")]
+    assert rows(got, "provider_product_id", "brand", "product_name", "size", "name") == [("3", "Quil", "Basil", "75 ml", "Quil Basil 75 ml"), ("6", "", "Green Tea", "", "Green Tea")]
 
 
 def test_similar_names_against_all_pairs(spark):
     rng = random.Random(2)
-    words = ["diesel", "fuel", "life", "edt", "125", "ml", "é", "a", "été", "oud"]
+    words = ["amber", "basil", "cedar", "mist", "340", "gr", "ö", "k", "öre", "fig"]
     left, right = (sorted({"".join(sorted(rng.choices(words, k=rng.randint(0, 4)))) for _ in range(80)}) for _ in range(2))
     frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "c string")
     got = {(r.a, r.b): r.score for r in matching.similar_names(frame(left), frame(right)).collect()}
@@ -94,9 +109,13 @@ def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
 
-def test_greedy(spark):
-    got = matching.assign(edges(spark, [("A", "pp1", "p1", 0.8), ("A", "pp1", "p2", 0.9), ("A", "pp2", "p1", 0.95), ("B", "pp3", "p1", 0.7)]))
-    assert rows(got, "provider_product_id", "product_id") == [("pp1", "p2"), ("pp2", "p1"), ("pp3", "p1")]
+def greedily(data):
+    """Winners by a plain loop over all edges, the best first."""
+    taken = []
+    for p, listing, product, _ in sorted(data, key=lambda e: (-e[3], e[1], e[2])):
+        if all(p != q or (listing != x and product != y) for q, x, y in taken):
+            taken.append((p, listing, product))
+    return sorted(taken)
 
 
 def test_rounds_equal_greedy(spark):
@@ -104,24 +123,44 @@ def test_rounds_equal_greedy(spark):
     data = [(p, f"l{rng.randint(0, 12)}", f"p{rng.randint(0, 12)}", rng.randint(6, 9) / 10) for p in "AB" for _ in range(60)]
     data = list({d[:3]: d for d in data}.values())
     every = edges(spark, data)
-    want = pd.concat(matching.take_greedily(g) for _, g in every.toPandas().groupby("provider_id"))
-    want = sorted(map(tuple, want[["provider_id", "provider_product_id", "product_id"]].values))
+    want = greedily(data)
     for limit in (10**6, 1):
         assert rows(matching.assign(every, limit), "provider_id", "provider_product_id", "product_id") == want
 
 
-def test_match_and_link(spark):
-    ps = products(spark, [("p1", "Diesel Fuel For Life EDT 125 ml", "", True), ("p2", "Light Blue EDT 100 ml", "", True), ("p3", "Light Blue EDT 100 ml", "", False)])
-    ls = listings(spark, [("l1", "A", "Light Blue EDT 100 ml", None, ""), ("l2", "A", "EDT 100 Light Blue", None, ""), ("l3", "A", "Completely Unrelated Name", None, "")])
-    stored = spark.createDataFrame([("m", "l1", "p2", 0.8, "pending"), ("n", "l3", "p1", 0.5, "pending")], "id string, provider_product_id string, product_id string, score double, status string")
-    new = matching.candidates(ls, ps, stored)
-    assert rows(new, "provider_product_id", "product_id") == [("l2", "p2")]
-    winners = matching.assign(matching.with_provider(new.unionByName(scans.above_threshold(stored)), ls))
-    assert [w.product_id for w in winners.collect()] == ["p2"]
-    linked = {r.id: r.product_id for r in matching.linked(ls, winners).collect()}
-    assert sorted(linked.values(), key=str) == [None, None, "p2"]
-    assert {r.status for r in matching.confirmed(stored, winners).collect()} <= {"pending", "confirmed"}
-    assert tuple(matching.match_summary(new, stored, ls, winners).first()) == (1, 2, 3, 1)
+def test_match_and_link_against_loops(spark):
+    """Catalog and listings of random words: new pairs, winners, links and statuses by hand."""
+    rng = random.Random(22)
+    words = ["amber", "basil", "cedar", "mist", "silk", "50 ml", "75 ml", "dry"]
+    say = lambda: " ".join(rng.sample(words, rng.randint(2, 4)))
+    goods = [(f"p{i:02}", say(), "", i % 4 > 0) for i in range(14)]
+    ls = [(f"l{i:02}", rng.choice("AB"), say(), rng.choice([None, "p01"]), "") for i in range(16)]
+    compact = lambda x: "".join(sorted(x.lower().split()))
+
+    def score(x, y):
+        x, y = compact(x), compact(y)
+        left = [x[i : i + 2] for i in range(len(x) - 1)]
+        hits = 0
+        for i in range(len(y) - 1):
+            if y[i : i + 2] in left:
+                left.remove(y[i : i + 2])
+                hits += 1
+        return 1.0 if x == y else 2 * hits / (len(x) + len(y) - 2)
+
+    kept = [(ls[i][0], goods[i][0], rng.choice([0.3, 0.7])) for i in range(10)]
+    new = {(x[0], g[0]): score(x[2], g[1]) for x in ls for g in goods if g[3] and score(x[2], g[1]) >= 0.6 and (x[0], g[0]) not in {k[:2] for k in kept}}
+    stored = spark.createDataFrame([(f"m{i}", *k, "pending") for i, k in enumerate(kept)], "id string, provider_product_id string, product_id string, score double, status string")
+    ps, frame = products(spark, goods), listings(spark, ls)
+    got = matching.candidates(frame, ps, stored)
+    assert {(r.provider_product_id, r.product_id): r.score for r in got.collect()} == pytest.approx(new) and len(new) > 5
+    of = {x[0]: x[1] for x in ls}
+    every = [(of[a], a, b, v) for (a, b), v in new.items()] + [(of[a], a, b, v) for a, b, v in kept if v >= 0.6]
+    want = {a: b for _, a, b in greedily([(p, a, b, round(v, 9)) for p, a, b, v in every])}
+    winners = matching.assign(matching.with_provider(got.unionByName(scans.above_threshold(stored)).withColumn("score", F.round("score", 9)), frame))
+    assert {r.provider_product_id: r.product_id for r in winners.collect()} == want
+    assert {r.id: r.product_id for r in matching.linked(frame, winners).collect()} == {x[0]: want.get(x[0]) for x in ls}
+    assert {r.id: r.status for r in matching.confirmed(stored, winners).collect()} == {f"m{i}": "confirmed" if want.get(a) == b else "pending" for i, (a, b, _) in enumerate(kept)}
+    assert tuple(matching.match_summary(got, stored, frame, winners).first()) == (len(new), len(kept), len(ls), len(want))
 
 
 def test_scans(spark):
