@@ -137,6 +137,7 @@ def ascii_fold(x: Column) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), LONG_FOLDS.items(), folded)
 
 
+# What buttons that load more say.
 LOAD_MORE = ("cargar más", "cargar mas", "ver más", "ver mas", "load more", "show more", "mostrar más", "mostrar mas", "ver todos")
 
 

@@ -61,3 +61,8 @@ def iso8601(seconds: Column) -> Column:
 def capture_place(base: str, url: Column) -> Column:
     """The folder of a page's captures: base/host, or base without a host."""
     return F.concat_ws("/", F.lit(base), F.nullif(host_of(url), F.lit("")))
+
+
+def now_secs() -> Column:
+    """The current time in whole seconds."""
+    return F.unix_timestamp()

@@ -22,7 +22,11 @@ NUMBER = re.compile(r"[0-9](?:[0-9]|[.,'](?=[0-9])|[ \xa0](?=[0-9]{3}(?![0-9])))
 SEPARATORS = frozenset(" \xa0.,'")
 SIZE = re.compile(r"[0-9]+\s?(?:ml|gr|g|lt|l)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
 WORD = re.compile(r"[^\W_]+")
+# Markup by which shops mark lists, prices, names, brands, sizes, and links that lead nowhere.
 LISTS = ("ul", "ol", "tbody", "table")
+PRICE_SPAN, CURRENT_PRICE, CURRENT_TYPE, NAME_ANCHOR = "product-price", "price", "finalPrice", "product-item-name"
+BRAND_CLASSES, BRAND_WORDS = ("productBrandName", "productBrandContainer", "product-item-brand", "__brand"), {"brand", "product"}
+SIZE_SELECTOR, SELECTED, NO_LINK = "skuSelectorItem", "selected", ("javascript:", "mailto:", "tel:", "data:")
 
 Price = tuple[float, str]
 
@@ -84,7 +88,7 @@ class Page:
         """Divs with prices: from marked price spans if these give two or more, else from each div's own text."""
         spans: dict[int, str] = {}
         for n in self.nodes:
-            if n.tag == "span" and n.has_class("product-price") and n.div >= 0:
+            if n.tag == "span" and n.has_class(PRICE_SPAN) and n.div >= 0:
                 direct = "".join(self.nodes[c].text for c in n.children)
                 if direct:
                     spans[n.div] = spans.get(n.div, "") + direct
@@ -140,7 +144,7 @@ class Page:
 
     def current_price(self, at: int) -> Price | None:
         for n in self.tree.below(at):
-            if n.attrs.get("itemprop") == "price" or n.attrs.get("data-price-type") == "finalPrice":
+            if n.attrs.get("itemprop") == CURRENT_PRICE or n.attrs.get("data-price-type") == CURRENT_TYPE:
                 found = prices_in(self.tree.all_text(n.at))
                 if found:
                     return found[-1]
@@ -158,7 +162,7 @@ class Page:
 
     @staticmethod
     def is_product_anchor(n: Node) -> bool:
-        return n.tag == "a" and (n.attrs.get("data-role") == "product-item-name" or n.has_class("product-item-name"))
+        return n.tag == "a" and (n.attrs.get("data-role") == NAME_ANCHOR or n.has_class(NAME_ANCHOR))
 
     def structured_name(self, at: int) -> str | None:
         nodes = self.tree.below(at)
@@ -193,15 +197,15 @@ class Page:
 
     def brand(self, card: int) -> str | None:
         for n in self.tree.below(card):
-            marked = any(n.has_class(c) for c in ("productBrandName", "productBrandContainer", "product-item-brand", "__brand"))
-            if marked or (n.tag == "strong" and {"brand", "product"} <= set(n.classes)):
+            marked = any(n.has_class(c) for c in BRAND_CLASSES)
+            if marked or (n.tag == "strong" and BRAND_WORDS <= set(n.classes)):
                 text = self.tree.flat_text(n.at)
                 if any(map(str.isalnum, text)) and not shows_price(text) and len(text) <= 32:
                     return text
         return None
 
     def selector_size(self, card: int) -> str | None:
-        sizes = [(not n.has_class("selected"), n.at, size) for n in self.tree.below(card) if n.has_class("skuSelectorItem") and (size := size_in(self.tree.flat_text(n.at)))]
+        sizes = [(not n.has_class(SELECTED), n.at, size) for n in self.tree.below(card) if n.has_class(SIZE_SELECTOR) and (size := size_in(self.tree.flat_text(n.at)))]
         return min(sizes)[2] if sizes else None
 
     def full_name(self, card: int, name: str, url: str | None) -> str:
@@ -224,7 +228,7 @@ class Page:
         links = []
         for n in self.tree.below(card):
             href = n.attrs.get("href", "").strip()
-            if n.tag == "a" and href and not href.endswith("#") and not href.startswith(("javascript:", "mailto:", "tel:", "data:")):
+            if n.tag == "a" and href and not href.endswith("#") and not href.startswith(NO_LINK):
                 links.append((0 if self.is_product_anchor(n) else 1 if self.tree.flat_text(n.at) else 2, n.at, href))
         return min(links)[2] if links else None
 

@@ -22,15 +22,31 @@ def cells(products: DataFrame, provider_products: DataFrame, latest: DataFrame)
 
 
 def rows(products: DataFrame, found: DataFrame, least_providers: int = 2) -> DataFrame:
-    """(product_id, name, prices map, n_providers, position): products priced by enough providers, by lower-cased name."""
+    """(product_id, name, prices map, n_providers): products priced by enough providers; for display, see in_order()."""
     prices = F.map_from_entries(F.array_sort(F.collect_list(F.struct("provider_id", "price"))))
     kept = found.groupBy("product_id").agg(prices.alias("prices"), F.count("*").alias("n_providers")).where(F.col("n_providers") >= least_providers)
     return kept.join(products.select(F.col("id").alias("product_id"), "name"), "product_id").select("product_id", "name", "prices", "n_providers")
 
 
+def in_order(kept: DataFrame) -> DataFrame:
+    """Rows or lines of the matrix in the order of its file: by lower-cased name."""
+    return kept.orderBy(F.lower("name"), "product_id")
+
+
+def long_rows(products: DataFrame, found: DataFrame, least_providers: int = 2) -> DataFrame:
+    """(product_id, name, provider_id, price, n_providers): the cells of rows(), one a row, without gathering any."""
+    kept = found.groupBy("product_id").agg(F.count("*").alias("n_providers")).where(F.col("n_providers") >= least_providers)
+    return found.join(kept, "product_id").join(products.select(F.col("id").alias("product_id"), "name"), "product_id").select("product_id", "name", "provider_id", "price", "n_providers")
+
+
 def columns(providers: DataFrame, kept: DataFrame) -> DataFrame:
-    """(provider_id, domain, n_cells, position): all providers, those with most priced cells first, then by domain."""
-    counts = kept.select(F.explode(F.map_keys("prices")).alias("provider_id")).groupBy("provider_id").agg(F.count("*").alias("n_cells"))
+    """(provider_id, domain, n_cells, position): all providers, those with most priced cells first, then by domain.
+
+    kept: what rows() or long_rows() returns. All providers are ranked in one
+    task, one row each: they are the columns of one file.
+    """
+    cells_of = kept if "provider_id" in kept.columns else kept.select(F.explode(F.map_keys("prices")).alias("provider_id"))
+    counts = cells_of.groupBy("provider_id").agg(F.count("*").alias("n_cells"))
     each = providers.select(F.col("id").alias("provider_id"), "domain").join(counts, "provider_id", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0)))
     return each.withColumn("position", F.row_number().over(Window.orderBy(F.desc("n_cells"), "domain", "provider_id")))
 
@@ -38,13 +54,19 @@ def columns(providers: DataFrame, kept: DataFrame) -> DataFrame:
 def csv_lines(kept: DataFrame, order: DataFrame) -> DataFrame:
     """(product_id, name, line): a line of the matrix's CSV for each row; blank cells for missing prices.
 
-    order: what columns() returns; one row of it reaches every task, as wide
-    as the file itself is.
+    order: what columns() returns; one row of it, as wide as the file's header
+    line, is joined to every line.
     """
     wide = order.agg(F.array_sort(F.collect_list(F.struct("position", "provider_id"))).alias("wide"))
     cell = F.transform("wide", lambda c: F.coalesce(display(F.try_element_at("prices", c["provider_id"])), F.lit("")))
     quoted = F.when(F.col("name").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("name"))
-    return kept.join(F.broadcast(wide)).select("product_id", "name", F.concat_ws(",", quoted, F.array_join(cell, ",")).alias("line"))
+    return kept.crossJoin(wide).select("product_id", "name", F.concat_ws(",", quoted, F.array_join(cell, ",")).alias("line"))
+
+
+def json_lines(kept: DataFrame) -> DataFrame:
+    """(product_id, name, json): each row of the matrix as a JSON object, its prices in order of provider."""
+    prices = F.transform(F.array_sort(F.map_keys("prices")), lambda p: F.struct(p.alias("provider_id"), F.element_at("prices", p).alias("price")))
+    return kept.select("product_id", "name", F.to_json(F.struct("product_id", "name", prices.alias("prices"))).alias("json"))
 
 
 def cheapest(found: DataFrame) -> DataFrame:

@@ -68,6 +68,13 @@ def cascade_delete(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, D
     return out
 
 
+def delete_unbranded(tables: dict[str, DataFrame], brands: DataFrame, products: DataFrame) -> dict[str, DataFrame]:
+    """The listing tables without the listings that no known brand covers, and without all that hangs on them."""
+    from .brands import unbranded
+
+    return cascade_delete(tables, unbranded(tables["provider_products"], brands, products).select("id"))
+
+
 def delta(products: DataFrame, seen: DataFrame | None = None, order: tuple[str, ...] = ()) -> DataFrame:
     """Products not seen before, each once: equal in name, price, text, url, currency and set of images."""
     keyed = products.withColumn("__images", F.array_sort("images"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.text import FOLDS, LONG_FOLDS, LOWER, QUOTES, REMOVED, UPPER
 from .domain import SQL as DOMAIN
 from .queries import SHOWN
+from .shops import SQL as SHOPS
 
 
 def over_domain(query: str, more: str = "") -> str:
@@ -50,6 +51,21 @@ STORED = "stored AS (SELECT 'm-' || p_partkey AS id, 'l-' || p_partkey AS provid
 LISTED = f"listed AS (SELECT 'l-' || p_partkey AS id, {COMPACT.format(chr(99) + 'oncat_ws(' + quoted(' ') + ', p_name, p_size::VARCHAR, ' + quoted('ml -') + ', p_brand)')} AS c FROM part)"
 MONEY = "'AR$ ' || l_extendedprice::DECIMAL(12,2) || ' x' || l_quantity::INTEGER"
 
+CONFLICTS = """
+conflicts AS (SELECT n_regionkey::VARCHAR AS provider_id, n_name AS provider_product_id, p_brand AS product_id, count(*) % 5 / 10 + 0.5 AS score
+  FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)"""
+#: Each provider's edges one after the other, with what is claimed so far.
+GREEDY = f"""WITH RECURSIVE {CONFLICTS},
+e AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY score DESC, provider_product_id, product_id) AS nth FROM conflicts WHERE score >= 0.6),
+w AS (
+  SELECT provider_id, nth, provider_product_id, product_id, score, true AS won, [provider_product_id] AS ls, [product_id] AS ps FROM e WHERE nth = 1
+  UNION ALL
+  SELECT e.provider_id, e.nth, e.provider_product_id, e.product_id, e.score, NOT list_contains(ls, e.provider_product_id) AND NOT list_contains(ps, e.product_id),
+         CASE WHEN list_contains(ls, e.provider_product_id) OR list_contains(ps, e.product_id) THEN ls ELSE list_append(ls, e.provider_product_id) END,
+         CASE WHEN list_contains(ls, e.provider_product_id) OR list_contains(ps, e.product_id) THEN ps ELSE list_append(ps, e.product_id) END
+  FROM w JOIN e ON e.provider_id = w.provider_id AND e.nth = w.nth + 1)
+SELECT provider_id, provider_product_id, product_id, score FROM w WHERE won"""
+
 SQL = {
     "price_matrix": over_domain("SELECT k.product_id, p.name, k.provider_id, k.price, k.n_providers FROM kept k JOIN products p ON p.id = k.product_id"),
     "matrix_pivot": over_domain(
@@ -87,6 +103,30 @@ SQL = {
         f"SELECT listed.id AS provider_product_id, p.id AS product_id, round(score, 6) AS score FROM pairs JOIN listed ON listed.c = pairs.a JOIN products p ON p.active AND {COMPACT.format('p.name')} = pairs.b WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.provider_product_id = listed.id AND s.product_id = p.id)",
         f"{GRAMS}, {STORED}, {LISTED}",
     ),
+    "matrix_json": over_domain("SELECT product_id, '{\"product_id\":\"' || product_id || '\",\"name\":\"' || p.name || '\",\"prices\":[' || string_agg('{\"provider_id\":\"' || provider_id || '\",\"price\":' || price::VARCHAR || '}', ',' ORDER BY provider_id) || ']}' AS json FROM kept JOIN products p ON p.id = product_id GROUP BY product_id, p.name"),
+    "greedy_conflicts": GREEDY,
+    "greedy_rounds": GREEDY,
+    "store_matches": f"WITH {CONFLICTS}, {STORED} SELECT provider_product_id, product_id, score::DOUBLE AS score, 'pending' AS status FROM stored UNION ALL SELECT provider_product_id, product_id, score, 'pending' FROM conflicts",
+    "delete_unbranded": over_domain(
+        "SELECT 'provider_products' AS table_name, count(*) AS n FROM lefts UNION ALL SELECT 'provider_product_prices', count(*) FROM prices WHERE provider_product_id IN (SELECT id FROM lefts)",
+        "lefts AS (SELECT v.id FROM provider_products v WHERE EXISTS (SELECT 1 FROM btok JOIN tok ON tok.name = v.name WHERE length(btok.name) % 3 = 1 AND list_has_all(tok.t, btok.t)))",
+    ),
+    "csv_catalog": "SELECT DISTINCT p_brand AS brand, n AS product_name, p_size || ' ml' AS size, concat_ws(' ', p_brand, n, p_size || ' ml') AS name FROM (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN p_name || ', \"new\"' ELSE p_name END AS n FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 11 <> 0)",
+    "shop_products": f"WITH {SHOPS} SELECT page_id, position, name, price_text, price, url, currency, array_to_string(images, '|') AS images FROM grids",
+    "shop_containers": f"WITH {SHOPS} SELECT page_id, 'goods list' || layout AS classes, 'g' || page_id AS container_id, n AS child_count FROM grids GROUP BY ALL",
+    "diagnose_containers": f"""WITH {SHOPS}, d AS (SELECT DISTINCT page_id, layout, n, CASE layout WHEN 0 THEN 2 * n WHEN 1 THEN n WHEN 2 THEN 2 * n WHEN 3 THEN 4 * n ELSE 2 * n END + 1 AS divs FROM grids)
+        SELECT page_id, 0 AS place, 'goods list' || layout AS classes, n AS price_count, divs AS div_count, round(n / divs, 6) AS density, true AS selected FROM d
+        UNION ALL SELECT page_id, 1, 'page', n, divs + 3, round(n / (divs + 3), 6), false FROM d""",
+    "ingest_prices": f"""WITH {SHOPS} SELECT 'shop' || layout || '.test' AS domain, name, price, coalesce(currency, '') AS currency, price_text, 1700000000 AS at FROM grids
+        UNION ALL SELECT 'shop' || layout || '.test', name, 2 * price, coalesce(currency, ''), price_text, 1700003600 FROM grids WHERE page_id % 2 = 1""",
+    "ingest_summary": f"""WITH {SHOPS} SELECT 'providers' AS table_name, count(DISTINCT layout) AS n FROM grids UNION ALL SELECT 'scrapes', 2 * count(DISTINCT page_id) FROM grids UNION ALL SELECT 'provider_products', count(*) FROM grids
+        UNION ALL SELECT 'provider_product_images', coalesce(sum(len(images)), 0)::BIGINT FROM grids UNION ALL SELECT 'provider_product_prices', count(*) + count(*) FILTER (page_id % 2 = 1) FROM grids""",
+    "capture_files": f"""WITH {SHOPS}, f AS (SELECT layout, min(page_url) AS page_url FROM grids GROUP BY 1)
+        SELECT 'shop' || layout || '.test/capture-1700000000.json' AS file, page_url AS url, n AS detected_cards, position, name, price FROM grids JOIN f USING (layout, page_url)""",
+    "poll_stalls": """WITH p AS (SELECT user_id::VARCHAR AS url, event_id AS captured_at, floor(value)::BIGINT AS n_products FROM events),
+        g AS (SELECT *, coalesce(n_products > max(n_products) OVER (PARTITION BY url ORDER BY captured_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS grew FROM p),
+        r AS (SELECT *, count(*) FILTER (grew) OVER (PARTITION BY url ORDER BY captured_at) AS run FROM g)
+        SELECT url, captured_at, n_products, row_number() OVER (PARTITION BY url, run ORDER BY captured_at) - 1 AS n_stalled, row_number() OVER (PARTITION BY url, run ORDER BY captured_at) > 3 AS stopped FROM r""",
     "relink_from_cache": over_domain("SELECT id, provider_product_id, product_id, CASE WHEN score >= 0.6 THEN 'confirmed' ELSE 'pending' END AS status FROM stored", STORED),
     "upsert_listings": over_domain(
         """SELECT coalesce(k.id, substr(sha256(s.provider_id || chr(31) || s.name), 1, 15)) AS id, s.provider_id, s.name, s.url, k.id IS NULL AS is_new

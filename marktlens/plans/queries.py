@@ -12,10 +12,13 @@ from ..functions import text as names
 from ..functions import urls
 from ..operators import brands as brand_ops
 from ..operators import detect, history, matching, matrix, scans, store
-from ..session import shared_folder
+from ..operators import ingest as ingestion
+from ..schemas import TABLES
+from ..session import shared_folder, written
 from ..sources import files
 from ..streaming import flows
 from . import domain as d
+from . import shops
 
 # Price matrix
 
@@ -30,7 +33,12 @@ def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix's cells with each row's name and number of providers."""
-    return matrix_rows(spark, sf_dir).select("product_id", "name", F.explode("prices").alias("provider_id", "price"), "n_providers")
+    return matrix.long_rows(d.products(spark, sf_dir), matrix_cells(spark, sf_dir))
+
+
+def matrix_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix's rows as JSON."""
+    return matrix.json_lines(matrix_rows(spark, sf_dir)).select("product_id", "json")
 
 
 def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrix.columns(d.providers(spark, sf_dir), matrix_rows(spark, sf_dir))
+    return matrix.columns(d.providers(spark, sf_dir), price_matrix(spark, sf_dir))
 
 
 def latest_price(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +150,13 @@ def stored_pair_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = edges(spark, sf_dir).unionByName(scans.above_threshold(stored_matches(spark, sf_dir)))
-    return matching.assign(matching.with_provider(every, d.catalog_listings(spark, sf_dir)))
+    """Winners among new and stored edges, which are written once."""
+    return assigned_of(written(edges(spark, sf_dir), "edges"), spark, sf_dir)
+
+
+def assigned_of(new: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = new.unionByName(scans.above_threshold(stored_matches(spark, sf_dir)))
+    return matching.assign(written(matching.with_provider(every, d.catalog_listings(spark, sf_dir)), "all-edges"))
 
 
 def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +164,34 @@ def greedy_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_products_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.match_summary(edges(spark, sf_dir), stored_matches(spark, sf_dir), d.catalog_listings(spark, sf_dir), matched(spark, sf_dir))
+    new = written(edges(spark, sf_dir), "edges")
+    return matching.match_summary(new, stored_matches(spark, sf_dir), d.catalog_listings(spark, sf_dir), assigned_of(new, spark, sf_dir))
+
+
+def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with many rivals: a region's nations and the brands, scored by how often they meet in lineitem (in tenths, so ties abound)."""
+    line, part, supplier, nation = (d.source(spark, sf_dir, t) for t in ("lineitem", "part", "supplier", "nation"))
+    met = line.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"))
+    met = met.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    found = met.groupBy(F.col("n_regionkey").cast("string").alias("provider_id"), F.col("n_name").alias("provider_product_id"), F.col("p_brand").alias("product_id")).agg(F.sum("n").alias("n"))
+    return found.select("provider_id", "provider_product_id", "product_id", (F.col("n") % 5 / 10 + 0.5).alias("score"))
+
+
+def greedy_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one-to-one assignment of conflicts() above the threshold."""
+    return matching.assign(conflicts(spark, sf_dir).where(F.col("score") >= scans.MATCH_SCORE))
+
+
+def greedy_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by distributed rounds."""
+    return matching.assign(conflicts(spark, sf_dir).where(F.col("score") >= scans.MATCH_SCORE), most_edges=0)
+
+
+def store_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache after the pairs of conflicts() and its own were added: stored ones keep score and status."""
+    pairs = conflicts(spark, sf_dir).select("provider_product_id", "product_id", "score")
+    again = stored_matches(spark, sf_dir).select("provider_product_id", "product_id", F.lit(0.9).alias("score"))
+    return ingestion.insert_matches(stored_matches(spark, sf_dir), pairs.unionByName(again)).select("provider_product_id", "product_id", "score", "status")
 
 
 def relink_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +233,25 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts[0].unionByName(counts[1])
 
 
+def delete_unbranded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows left in each table once the listings that none of a third of the brands covers are gone."""
+    few = d.brands(spark, sf_dir).where("length(name) % 3 = 1")
+    tables = {"provider_products": d.provider_products(spark, sf_dir), "provider_product_prices": d.prices(spark, sf_dir)}
+    left = store.delete_unbranded(tables, few, d.products(spark, sf_dir).limit(0))
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in left.items()]
+    return counts[0].unionByName(counts[1])
+
+
+def csv_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as CSV, read back as catalog rows, and imported."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    odd = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.col("p_name"), F.lit(', "new"'))).when(F.col("p_partkey") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name"))
+    rows = d.source(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" ")).alias("brand"), odd.alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" ml")).alias("size"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    found = files.import_products(spark.createDataFrame([], TABLES["products"]), files.read_products_csv(spark, path))
+    return found.select("brand", "product_name", "size", "name")
+
+
 def import_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.import_brands(d.brands(spark, sf_dir), d.source(spark, sf_dir, "part").select(F.trim("p_brand").alias("name")))
 
@@ -308,13 +367,77 @@ def iso8601(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detect_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products on the driver's own pages (articles without grids)."""
     grids = detect.detect_grids(d.source(spark, sf_dir, "pages").select("page_id", "html"))
     return detect.products_of(grids).select("page_id", "position", "name", "price_text", "price", "url", "currency")
 
 
+def shop_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products on shop pages of five layouts."""
+    grids = detect.detect_grids(shops.shop_pages(spark, sf_dir))
+    return detect.products_of(grids).select("page_id", "position", "name", "price_text", "price", "url", "currency", F.array_join("images", "|").alias("images"))
+
+
+def shop_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container chosen on each shop page."""
+    grids = detect.detect_grids(shops.shop_pages(spark, sf_dir))
+    return grids.select("page_id", F.array_join("container.classes", " ").alias("classes"), F.col("container.id").alias("container_id"), F.col("container.child_count").alias("child_count"))
+
+
 def diagnose_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect.candidate_containers(d.source(spark, sf_dir, "pages").select("page_id", "html"))
-    return found.select("page_id", F.size("candidates").alias("n_candidates"))
+    """All candidate containers of the shop pages, the densest first."""
+    found = detect.candidate_containers(shops.shop_pages(spark, sf_dir))
+    each = found.select("page_id", F.posexplode("candidates").alias("place", "c"))
+    return each.select("page_id", "place", F.array_join("c.classes", " ").alias("classes"), "c.price_count", "c.div_count", F.round("c.density", 6).alias("density"), "c.selected")
+
+
+def shop_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two captures of each shop page, an hour apart; in the later one the prices of odd pages are doubled."""
+    pages = shops.shop_pages(spark, sf_dir)
+    grids = detect.detect_grids(pages).join(pages.select("page_id", "url"), "page_id")
+    later = F.transform("products", lambda p: p.withField("price", F.when(F.col("page_id") % 2 == 1, p["price"] * 2).otherwise(p["price"])))
+    first = grids.select("url", F.lit(1_700_000_000).cast("long").alias("captured_at"), "container", "products")
+    return first.unionByName(grids.select("url", F.lit(1_700_003_600).cast("long").alias("captured_at"), "container", later.alias("products")))
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The store after the first captures, all of them, and all of them again."""
+    captures = written(shop_captures(spark, sf_dir), "captures")
+    tables = ingestion.empty_store(spark)
+    for batch in (captures.where("captured_at = 1700000000"), captures, captures):
+        tables = {name: written(t, name) for name, t in ingestion.ingest(tables, batch).items()}
+    return tables
+
+
+def ingest_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price history that the captures leave."""
+    tables = ingested(spark, sf_dir)
+    names = tables["provider_products"].select(F.col("id").alias("provider_product_id"), "name", "provider_id").join(tables["providers"].select(F.col("id").alias("provider_id"), "domain"), "provider_id")
+    return tables["provider_product_prices"].join(names, "provider_product_id").select("domain", "name", "price", "currency", "price_text", F.unix_seconds("created").alias("at"))
+
+
+def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in each table after the captures."""
+    counts = [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, t in ingested(spark, sf_dir).items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures written as files, one each by host and time, and read back."""
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    shown = shop_captures(spark, sf_dir).where("captured_at = 1700000000").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.min_by(F.struct("url", "captured_at", "container", "products"), "url").alias("c")).select("c.*")
+    files.write_captures(shown.withColumn("detected_cards", F.size("products").cast("long")).select("url", "captured_at", "container", "detected_cards", "products"), folder)
+    back = files.read_captures(spark, folder).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+/capture-[0-9]+[.]json)$", 1))
+    return back.select("file", "url", "detected_cards", F.posexplode("products").alias("position", "p")).select("file", "url", "detected_cards", "position", "p.name", "p.price")
+
+
+def poll_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls of each user's events, the value as the number of products: when growth has stalled three times."""
+    polls = d.source(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("captured_at"), F.floor("value").cast("long").alias("n_products"))
+    return flows.stalls(polls)
 
 
 def first_listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,18 @@ QUERIES = {
     "iso8601": q.iso8601,
     "detect_grid": q.detect_grid,
     "diagnose_containers": q.diagnose_containers,
+    "matrix_json": q.matrix_json,
+    "greedy_conflicts": q.greedy_conflicts,
+    "greedy_rounds": q.greedy_rounds,
+    "store_matches": q.store_matches,
+    "delete_unbranded": q.delete_unbranded,
+    "csv_catalog": q.csv_catalog,
+    "shop_products": q.shop_products,
+    "shop_containers": q.shop_containers,
+    "ingest_prices": q.ingest_prices,
+    "ingest_summary": q.ingest_summary,
+    "capture_files": q.capture_files,
+    "poll_stalls": q.poll_stalls,
     "provider_scan": q.first_listing,
 }
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_fold, ascii_lower, collapse_ends, full_name
-from ..functions.urls import host_of
+from ..functions.urls import capture_place
 from ..operators.store import first_of, insert_new, new_id, trimmed_products
 from ..schemas import CAPTURE, TABLES
 
@@ -45,12 +51,27 @@ def import_brands(brands: DataFrame, rows: DataFrame) -> DataFrame:
 
 def read_captures(spark: SparkSession, folder: str) -> DataFrame:
     """JSON captures, one object a file or a line."""
-    return spark.read.schema(CAPTURE).json(folder, multiLine=True)
+    return spark.read.schema(CAPTURE).option("recursiveFileLookup", True).json(folder, multiLine=True)
+
+
+def write_captures(captures: DataFrame, folder: str) -> int:
+    """Each capture as indented JSON at <folder>/<host>/capture-<captured_at>.json, in the folder itself without a host.
+
+    Tasks write their own files through Arrow's file systems; a repeated task
+    writes the same files again. Returns how many there are.
+    """
+    rows = captures.select(capture_place(folder, F.col("url")).alias("place"), "captured_at", F.to_json(F.struct(*[c for c in captures.columns]), {"ignoreNullFields": "false"}).alias("json"))
 
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for place, at, text in frame.itertuples(index=False):
+                fs, path = FileSystem.from_uri(place if "://" in place or place.startswith("file:") else f"file://{os.path.abspath(place)}")
+                fs.create_dir(path, recursive=True)
+                with fs.open_output_stream(f"{path}/capture-{at}.json", compression=None) as out:
+                    out.write(json.dumps(json.loads(text), indent=2, ensure_ascii=False).encode())
+            yield pd.DataFrame({"n": [len(frame)]})
 
-def write_captures(captures: DataFrame, folder: str) -> None:
-    """Captures as JSON under host=..., the base for those without a host."""
-    captures.withColumn("host", host_of(F.col("url"))).write.mode("append").partitionBy("host").json(folder)
+    return rows.mapInPandas(each, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +123,7 @@ def export_brands(brands: DataFrame, path: str) -> None:
 
 def export_matrix(rows: DataFrame, order: DataFrame, path: str) -> None:
     """The price matrix: products by lower-cased name, providers in their order."""
-    from ..operators.matrix import csv_lines
+    from ..operators.matrix import csv_lines, in_order
 
     domains = [r[0] for r in order.orderBy("position").select(csv_field(F.col("domain"))).collect()]  # one header line
-    write_lines(",".join(["Product", *domains]), csv_lines(rows, order).orderBy(F.lower("name"), "product_id"), path)
+    write_lines(",".join(["Product", *domains]), in_order(csv_lines(rows, order)), path)

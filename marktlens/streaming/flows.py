@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ingest import empty_store, ingest
 from ..schemas import CAPTURE
 
 CHANGE = "key string, price double, currency string, created timestamp, id long"
@@ -16,7 +18,7 @@ CHANGE = "key string, price double, currency string, created timestamp, id long"
 
 def capture_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Captures as they arrive in a folder."""
-    return spark.readStream.schema(CAPTURE).json(folder, multiLine=True)
+    return spark.readStream.schema(CAPTURE).option("recursiveFileLookup", True).json(folder, multiLine=True)
 
 
 def product_stream(captures: DataFrame) -> DataFrame:
@@ -43,11 +45,48 @@ def price_changes(observed: DataFrame) -> DataFrame:
     return observed.groupBy("key").applyInPandasWithState(changed, CHANGE, "price double, currency string", "append", GroupStateTimeout.NoTimeout)
 
 
+def start(stream: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
+    """Start a stream: with every (as "2 seconds") it polls on until stopped, else it ends when all that is there is done."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.foreachBatch(write).start() if write else writer.format("parquet").outputMode("append").start(folder)
+
+
 def run_available(stream: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None) -> None:
     """Process what is there and stop. With write, each micro-batch goes through it; else Parquet is appended to folder.
 
     A batch whose write failed is replayed whole from the checkpoint.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    query = writer.foreachBatch(write).start() if write else writer.format("parquet").outputMode("append").start(folder)
-    query.awaitTermination()
+    start(stream, folder, checkpoint, write).awaitTermination()
+
+
+def into_store(folder: str) -> Callable[[DataFrame, int], None]:
+    """A sink of captures: each micro-batch is ingested into the tables under folder.
+
+    A batch writes a version of its own, <folder>/v<batch>/<table>, from the one
+    before; a replayed batch writes the same version again, so nothing is
+    taken in twice. The last version is the store (see stored_tables()).
+    """
+
+    def write(captures: DataFrame, batch: int) -> None:
+        spark = captures.sparkSession
+        tables = stored_tables(spark, folder, batch) if batch else empty_store(spark)
+        for name, table in ingest(tables, captures.select("url", "captured_at", "container", "products")).items():
+            table.write.mode("overwrite").parquet(f"{folder}/v{batch}/{name}")
+
+    return write
+
+
+def stored_tables(spark: SparkSession, folder: str, before: int) -> dict[str, DataFrame]:
+    """The tables as the batches before the given number left them."""
+    return {name: spark.read.schema(table.schema).parquet(f"{folder}/v{before - 1}/{name}") for name, table in empty_store(spark).items()}
+
+
+def stalls(polls: DataFrame, most: int = 3) -> DataFrame:
+    """(url, captured_at, n_products, n_stalled, stopped) of polls (url, captured_at, n_products): how many in a row did not grow, and whether that is the end."""
+    by_time = Window.partitionBy("url").orderBy("captured_at")
+    before = F.max("n_products").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    rows = polls.withColumn("grew", F.coalesce(F.col("n_products") > before, F.lit(True)))
+    rows = rows.withColumn("run", F.count_if("grew").over(by_time))
+    stalled = (F.row_number().over(Window.partitionBy("url", "run").orderBy("captured_at")) - 1).alias("n_stalled")
+    return rows.select("url", "captured_at", "n_products", stalled).withColumn("stopped", F.col("n_stalled") >= most)

@@ -194,3 +194,36 @@ def test_delta(spark):
     assert store.delta(cards, seen=cards.limit(1)).count() == 1
     polls = spark.createDataFrame([("u", 1, ["a"]), ("u", 2, ["a", "b"]), ("u", 3, ["c", "d"])], "url string, captured_at long, products array<string>")
     assert store.best_grid(polls).first().products == ["a", "b"]
+
+
+def test_price_history_of_ingest(spark):
+    """Against a loop: per listing only changes are stored, the last of a scrape counts, and a repeated batch adds nothing."""
+    from marktlens.operators.ingest import insert_prices
+    from marktlens.schemas import TABLES
+
+    rng = random.Random(41)
+    prices, want, last = spark.createDataFrame([], TABLES["provider_product_prices"]), set(), {}
+    for scrape in range(4):
+        seen = [(f"{scrape}-{n:03}", f"l{rng.randint(0, 5)}", f"s{scrape}", float(rng.randint(1, 2)), rng.choice(["", "EUR"]), "t", scrape) for n in range(12)]
+        now = {}
+        for row in seen:
+            now[row[1]] = row
+        for listing, row in now.items():
+            if last.get(listing) != row[3:5]:
+                last[listing] = row[3:5]
+                want.add(row[0])
+        batch = spark.createDataFrame(seen, "id string, provider_product_id string, scrape_id string, price double, currency string, price_text string, at long").withColumn("created", F.timestamp_seconds("at")).drop("at")
+        twice = insert_prices(insert_prices(prices, batch), batch)
+        prices = spark.createDataFrame(twice.collect(), TABLES["provider_product_prices"])
+    assert {r.id for r in prices.collect()} == want
+
+
+def test_matches_and_stalls(spark):
+    from marktlens.operators.ingest import insert_matches
+    from marktlens.streaming.flows import stalls
+
+    stored = spark.createDataFrame([("m", "l1", "p1", 0.7, "confirmed")], "id string, provider_product_id string, product_id string, score double, status string")
+    got = insert_matches(stored, spark.createDataFrame([("l1", "p1", 0.9), ("l1", "p2", 0.8), ("l1", "p2", 0.8)], "provider_product_id string, product_id string, score double"))
+    assert rows(got, "provider_product_id", "product_id", "score", "status") == [("l1", "p1", 0.7, "confirmed"), ("l1", "p2", 0.8, "pending")]
+    polls = spark.createDataFrame([("u", at, n) for at, n in enumerate([2, 5, 5, 4, 5, 6, 6])], "url string, captured_at long, n_products long")
+    assert [(r.n_stalled, r.stopped) for r in stalls(polls).orderBy("captured_at").collect()] == [(0, False), (0, False), (1, False), (2, False), (3, True), (0, False), (1, False)]

@@ -49,14 +49,40 @@ def test_captures_and_product_stream(spark, tmp_path):
     folder = str(tmp_path / "captures")
     for at, names in ((1, ["one", "two"]), (2, ["two", "three"])):
         files.write_captures(capture(spark, at, names), folder)
-        flows.run_available(flows.product_stream(flows.capture_stream(spark, f"{folder}/*")), str(tmp_path / "out"), str(tmp_path / "state"))
+        flows.run_available(flows.product_stream(flows.capture_stream(spark, folder)), str(tmp_path / "out"), str(tmp_path / "state"))
         assert spark.read.parquet(str(tmp_path / "out")).count() == at + 1
-    assert files.read_captures(spark, folder).where("host = 'x.com'").count() == 2
+    assert sorted(p.name for p in (tmp_path / "captures" / "x.com").glob("*.json")) == ["capture-1.json", "capture-2.json"]
+    assert '\n  "url": "https://x.com/l"' in (tmp_path / "captures" / "x.com" / "capture-1.json").read_text()
+    assert files.read_captures(spark, folder).where("url = 'https://x.com/l'").count() == 2
     batches = []
-    flows.run_available(flows.product_stream(flows.capture_stream(spark, f"{folder}/*")), "", str(tmp_path / "state2"), lambda df, n: batches.append(df.count()))
+    flows.run_available(flows.product_stream(flows.capture_stream(spark, folder)), "", str(tmp_path / "state2"), lambda df, n: batches.append(df.count()))
     assert sum(batches) == 3
 
 
+def test_captures_without_host(spark, tmp_path):
+    one = capture(spark, 7, ["a"]).withColumn("url", F.lit("no address"))
+    assert files.write_captures(one, str(tmp_path / "c")) == 1 and (tmp_path / "c" / "capture-7.json").exists()
+    assert files.read_captures(spark, str(tmp_path / "c")).first().captured_at == 7
+    assert files.write_captures(one.limit(0), str(tmp_path / "none")) == 0
+
+
+def test_ingest_stream(spark, tmp_path):
+    """Captures stream into the store; each batch has its version, and a batch that comes again changes nothing."""
+    sink, folder = flows.into_store(str(tmp_path / "store")), str(tmp_path / "in")
+    for at, names in ((1, ["one", "two"]), (3601, ["two", "three"])):
+        files.write_captures(capture(spark, at, names), folder)
+        flows.run_available(flows.capture_stream(spark, folder), "", str(tmp_path / "state"), sink)
+    store = flows.stored_tables(spark, str(tmp_path / "store"), 2)
+    assert {n: t.count() for n, t in store.items()} == {"providers": 1, "scrapes": 2, "provider_products": 3, "provider_product_images": 6, "provider_product_prices": 3}
+    before = {name: sorted(map(str, t.collect())) for name, t in store.items()}
+    sink(capture(spark, 3601, ["two", "three"]), 1)
+    assert {name: sorted(map(str, t.collect())) for name, t in flows.stored_tables(spark, str(tmp_path / "store"), 2).items()} == before
+    polled = flows.start(flows.product_stream(flows.capture_stream(spark, folder)), str(tmp_path / "out"), str(tmp_path / "state2"), every="1 second")
+    polled.processAllAvailable()
+    polled.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+
+
 def test_price_stream_over_batches(spark, tmp_path):
     for n, (price, at) in enumerate([(1.0, "2024-01-01"), (1.0, "2024-01-02"), (2.0, "2024-01-03")]):
         spark.createDataFrame([("k", price, "EUR", at, n)], "key string, price double, currency string, created string, id long").withColumn("created", F.to_timestamp("created")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
