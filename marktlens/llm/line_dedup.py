@@ -70,16 +70,18 @@ def repeated_positions(docs: DataFrame, id_col: str, text_col: str, min_words: i
     """
     rows = docs.select(*key_columns(docs, id_col, text_col), F.posexplode(worded_lines(F.col(text_col))).alias("seq", "s"))
     rows = rows.select(*KEY, "seq", F.unhex(F.md5("s.line")).alias("line"), n_words(F.col("s.line")).alias("w"))
-    rows = materialise(rows.repartition(*KEY).dropDuplicates([*KEY, "seq"]), "lines")
-    common = ranked(rows.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "line")
-    rows = rows.join(common, "line").drop("line").withColumnRenamed("rank", "r0")
+    lines = materialise(rows.repartition(*KEY).dropDuplicates([*KEY, "seq"]), "lines")
+    common = ranked(lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "line")
+    rows = lines.join(common, "line").drop("line").withColumnRenamed("rank", "r0")
     by_seq = Window.partitionBy(*KEY).orderBy("seq")
     rows = rows.withColumn("segment", F.col("seq") - F.row_number().over(by_seq))
     segment = Window.partitionBy(*KEY, "segment")
     rows = rows.withColumn("end", F.sum("w").over(segment.orderBy("seq"))).withColumn("start", F.col("end") - F.col("w"))
     ahead, back = segment.orderBy("start").rangeBetween(0, min_words - 1), segment.orderBy("end").rangeBetween(1 - min_words, 0)
     size = lambda w: F.when(F.sum("w").over(w) >= min_words, F.count("*").over(w).cast("int"))
-    return materialise(rows.withColumn("forward", size(ahead)).withColumn("backward", size(back)).select(*KEY, "seq", "forward", "backward", "r0"), "lines-repeated")
+    found = materialise(rows.withColumn("forward", size(ahead)).withColumn("backward", size(back)).select(*KEY, "seq", "forward", "backward", "r0"), "lines-repeated")
+    free(lines, common)
+    return found
 
 
 def doubled(rows: DataFrame, level: int) -> DataFrame:
@@ -117,7 +119,9 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = runs.join(intervals, ["a", "b", "lines"]).where(place != F.col("first"))
     gone = copies.groupBy(*KEY).agg(F.collect_set(F.struct("seq", "lines")).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["seq"], r["seq"] + r["lines"] - 1))))
-    return materialise(gone.select(*KEY, covered.alias("gone")), "lines-gone")
+    found = materialise(gone.select(*KEY, covered.alias("gone")), "lines-gone")
+    free(rows, runs, intervals)
+    return found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, deleted_col: str = "__deleted") -> DataFrame:
