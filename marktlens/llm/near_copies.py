@@ -43,7 +43,7 @@ from .graphs import components
 from .simhash import allocate, bit_moments, in_blocks, signatures
 from .words import batches_of, mixed, word_hashes
 
-SALTS = (np.uint64(0), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+SALTS = np.array([0, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def digest_of(text: Column) -> Column:
@@ -64,13 +64,12 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 
 def majority(hashes: np.ndarray) -> list[int]:
     """The SimHash of a set of hashes as three signed longs."""
-    out = []
-    for salt in SALTS:
-        x = mixed(hashes ^ salt)
-        bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.ones(len(x), np.float32) @ bits.astype(np.float32) if len(x) else np.zeros(64)
-        out.append(int(np.packbits(2 * counts > len(x), bitorder="little").view("<i8")[0]))
-    return out
+    if not len(hashes):
+        return [0, 0, 0]
+    x = mixed(hashes[:, None] ^ SALTS)
+    bits = np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    counts = np.ones(len(x), np.float32) @ bits.astype(np.float32)
+    return np.packbits(2 * counts > len(x), bitorder="little").view("<i8").tolist()
 
 
 def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -110,26 +109,32 @@ def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both) - 1e-9
 
 
-def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray] | None, k: int, far: int, least: float) -> tuple[list[int], list[int]]:
-    """Edges of a spanning forest of one run's nodes: of those within both radii, and with sets, alike."""
-    _, first = np.unique(nodes, return_index=True)
-    nodes, fps = nodes[first], fps[first]
-    near = np.bitwise_count(fps[:, None, 0] ^ fps[None, :, 0]) <= k
-    left, right = np.nonzero(np.triu(near, 1))
-    within = np.bitwise_count(fps[left, 1:] ^ fps[right, 1:]).sum(axis=1) <= far
-    left, right = left[within], right[within]
-    root = list(range(len(nodes)))
+def pairs_in_runs(g: np.ndarray, fps: np.ndarray, k: int, far: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of equal g (rows come sorted by it) that are within both radii, every distance in the run at a time."""
+    ends = np.searchsorted(g, g, side="right")
+    left, right, at = [], [], np.arange(len(g))
+    for step in range(1, int((ends - at).max(initial=1))):
+        at = at[at + step < ends[at]]
+        near = at[np.bitwise_count(fps[at, 0] ^ fps[at + step, 0]) <= k]
+        near = near[np.bitwise_count(fps[near, 1:] ^ fps[near + step, 1:]).sum(axis=1) <= far]
+        left.append(near)
+        right.append(near + step)
+    return np.concatenate(left or [at[:0]]), np.concatenate(right or [at[:0]])
+
+
+def forest(nodes: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], sets: list[np.ndarray] | None, least: float) -> tuple[list[int], list[int]]:
+    """Edges that span what the pairs link; with sets, of the pairs that are alike."""
+    root: dict[int, int] = {}
 
     def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
+        while (y := root.get(x, x)) != x:
+            root[x] = x = root.get(y, y)
         return x
 
     a, b = [], []
-    for i, j in zip(left.tolist(), right.tolist(), strict=True):
+    for i, j in zip(*(p.tolist() for p in pairs), strict=True):
         x, y = find(i), find(j)
-        if x != y and (sets is None or alike(sets[first[i]], sets[first[j]], least)):
+        if x != y and (sets is None or alike(sets[i], sets[j], least)):
             root[max(x, y)] = min(x, y)
             a.append(int(nodes[i]))
             b.append(int(nodes[j]))
@@ -138,24 +143,23 @@ def forest(nodes: np.ndarray, fps: np.ndarray, sets: list[np.ndarray] | None, k:
 
 def links_in_runs(batches: Iterator[pa.RecordBatch], k: int, far: int, least: float) -> Iterator[pa.RecordBatch]:
     """Rows (g, node, fp, w1, w2[, hashes]) come sorted by g; edges within each g go."""
-    now, held = None, []
-
-    def done() -> pa.RecordBatch:
-        edges = ([], [])
-        if len(held) > 1:
-            sets = [np.frombuffer(h[4], np.uint64) for h in held] if len(held[0]) > 4 else None
-            numbers = np.array([h[:4] for h in held], np.int64)
-            edges = forest(numbers[:, 0], numbers[:, 1:].view(np.uint64), sets, k, far, least)
+    rows, sets = np.zeros((0, 5), np.int64), None
+
+    def done(upto: int) -> pa.RecordBatch:
+        nonlocal rows, sets
+        now, rows = rows[:upto], rows[upto:]
+        mine, sets = (None, None) if sets is None else (sets[:upto], sets[upto:])
+        edges = forest(now[:, 1], pairs_in_runs(now[:, 0], now[:, 2:].view(np.uint64), k, far), mine, least)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in edges], ["a", "b"])
 
     for batch in batches:
-        for g, *row in zip(*(batch[c].to_pylist() for c in batch.schema.names), strict=True):
-            if g != now:
-                if len(held) > 1:
-                    yield done()
-                now, held = g, []
-            held.append(row)
-    yield done()
+        new = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("g", "node", "fp", "w1", "w2")], axis=1)
+        rows = np.concatenate([rows, new])
+        if "hashes" in batch.schema.names:
+            sets = (sets or []) + [np.frombuffer(x.as_py(), np.uint64) for x in batch["hashes"]]
+        if len(rows):
+            yield done(int(np.searchsorted(rows[:, 0], rows[-1, 0])))
+    yield done(len(rows))
 
 
 def meet(rows: DataFrame, key: str, data: DataFrame, block: int, **how) -> DataFrame:
@@ -171,7 +175,8 @@ def near_copies(docs: DataFrame, text_col: str = "text", words: int = 5, least:
     marked = materialise(texts.mapInArrow(partial(marks, words=words), "digest binary, name binary, fp long, w1 long, w2 long"), "near-marks")
     nodes = marked.groupBy("name").agg(*[F.first(c).alias(c) for c in ("fp", "w1", "w2")], F.min("digest").alias("digest"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
-    plan = allocate(*bit_moments(nodes.select("fp")), k)
+    #: Pairs of a run are compared all at once, so they cost less here; below a million nodes the plan does not move.
+    plan = allocate(*bit_moments(nodes.select("fp")), k, at_least=1 << 20, pair_cost=0.002)
     points = nodes.select("node", "fp", "w1", "w2")
     probes = nodes.select("node", F.explode(signatures(plan)).alias("key")) if plan else nodes.select("node", F.col("node").alias("key")).limit(0)
     maybe = materialise(components(meet(probes, "key", points, block, **how)), "near-maybe")
@@ -180,7 +185,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", words: int = 5, least:
     again = join_small(texts, some.select("digest"), "digest", "left_semi", row_bytes=32).groupBy("digest").agg(F.first("raw").alias("raw"))
     sets = again.select("digest", "raw").mapInArrow(partial(sets_of, words=words), "digest binary, hashes binary").join(some, "digest")
     sets = materialise(sets.select("node", "hashes"), "near-sets")
-    links = meet(maybe.select("root", "node"), "root", points.join(sets, "node"), block, **how)
+    links = meet(maybe.select("root", "node"), "root", points.join(sets, "node"), max(2, block // 4), **how)
     roots = components(links)
     found = nodes.select("name", "node").join(roots, "node", "left").select("name", F.coalesce("root", "node").alias("group"))
     found = materialise(marked.select("digest", "name").distinct().join(found, "name").select("digest", "group"), "near-groups")

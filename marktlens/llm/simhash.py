@@ -117,10 +117,13 @@ def within(p: np.ndarray, t: int) -> float:
     return sum(differ[: t + 1])
 
 
-def allocate(n: int, together: np.ndarray, k: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of each part, at the least estimated cost over all numbers of parts."""
+def allocate(n: int, together: np.ndarray, k: int, at_least: int = 1, pair_cost: float = PAIR_COST) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each part, at the least estimated cost over all numbers of parts.
+
+    Fewer than at_least fingerprints get the plan of so many; an empty table too needs a plan of few signatures.
+    """
     p = np.diag(together) / max(n, 1)
-    n = max(n, 1)  # an empty table too needs a plan of few signatures
+    together, n = together * (max(n, at_least) / max(n, 1)), max(n, at_least)
     best = (math.inf, [])
     for m in range(1, k + 2):
         groups, total = group_bits(n, together, m), k - m + 1
@@ -130,7 +133,7 @@ def allocate(n: int, together: np.ndarray, k: int) -> list[tuple[list[int], int]
             after: dict[int, tuple[float, list[int]]] = {}
             for s, (cost, chosen) in state.items():
                 for t in range(-1, min(len(g), total + m) + 1):
-                    here = 0.0 if t < 0 else ROW_COST * n * math.comb(len(g), t) + PAIR_COST * n * n / 2 * within(p[g], t)
+                    here = 0.0 if t < 0 else ROW_COST * n * math.comb(len(g), t) + pair_cost * n * n / 2 * within(p[g], t)
                     if cost + here < after.get(s + t, (math.inf,))[0]:
                         after[s + t] = (cost + here, [*chosen, t])
             state = after
