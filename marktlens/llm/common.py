@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import fresh_folder
+
 #: A word everywhere in this subpackage: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,25 +28,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master, as in tests, may do without it."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"{tempfile.gettempdir()}/checkpoints/{sc.applicationId}"
-        sc.setCheckpointDir(found)
-    return found
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the session's file system closes."""
-    path = f"{shared_dir(spark)}/marktlens/{what}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+    """A new path in the folder that driver and executors share, removed when the session ends."""
+    return fresh_folder(spark, what)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -3,25 +3,29 @@ r"""Line dedup: a suffix array over line ids, built by distributed prefix doubli
 The corpus is a set of sequences of line ids (lines without a word are left
 out). A line that occurs once ends every repeat, so only repeated lines are
 kept, as segments of consecutive positions. Rank 0 of a position is the order
-of its line's id; in round l the pairs (rank of i, rank of i + 2^l) are
-sorted over all tasks (range partitions, then an increasing id), which gives
-the order of the prefixes of 2^(l+1) lines of all suffixes. Pairs that occur
-once get no rank: their suffixes share no longer prefix with any other.
-
-A repeated run counts from ``min_words`` words. In the suffix order, suffixes
-that share their shortest prefix of so many words stand together: they are a
-longest-common-prefix interval of at least ``min_words`` words. Equality of a
-prefix of m lines is that of two overlapping ranked prefixes of 2^l <= m
-lines, so ranks are needed up to min_words lines only, however long the
-repeats are. A maximal repeated run is the union of the intervals' prefixes
-that start in it and of the shortest ones that end in it (for its last
-lines); of each interval all but the first occurrence, by document id and
-place, are later copies, and their lines are deleted.
-
-No group is gathered: intervals are counted and their first occurrences found
-by pre-aggregated groups, and joined back (adaptive execution splits the
-joins of very common lines). What one document's windows hold is its own
-lines.
+of its line's id; in round l the pairs (rank of i, rank of i + 2^l, least at a
+segment's end) are sorted over all tasks (range partitions, then an increasing
+id). The last ranks give the order of all suffixes by as many lines as the
+longest run needs that is looked for, at most ``min_words``; what is equal to
+that depth shares a rank.
+
+A repeated run counts from ``min_words`` words: a suffix's shortest run of so
+many words, and a position's shortest run up to it (for the last lines of a
+maximal run). Such a run, a suffix and a number of lines, belongs to a
+longest-common-prefix interval: the stretch of the suffix array around it
+whose neighbours share that many lines. So the suffixes that share the first
+2^l lines of a run (2^l at most its lines) are taken in the array's order,
+one row for each rank; the longest common prefix of each with the one before
+is found, and where it falls short a new interval begins. The union of the
+intervals' runs is what the maximal repeated runs cover. Of each interval all
+but the first occurrence, by document id and place, are later copies, and
+their lines are deleted.
+
+No group of positions is gathered: they are counted and their first
+occurrences found by pre-aggregated groups, a row a rank, and joined back
+(adaptive execution splits the joins of very common lines). What is ordered in
+one window are distinct continuations of one shared beginning, not their
+occurrences. What one document's windows hold is its own lines.
 
 A run may overlap its first occurrence: a line repeated over and over stays once.
 
@@ -62,7 +66,7 @@ def ranked(keys: DataFrame, *cols: str) -> DataFrame:
 
 
 def repeated_positions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(KEY, seq, forward, backward, r0) of the repeated lines.
+    """(KEY, seq, segment, forward, backward, r0) of the repeated lines.
 
     seq counts a document's worded lines. forward / backward: the number of
     lines of the shortest run of min_words words from / up to this line,
@@ -79,44 +83,61 @@ def repeated_positions(docs: DataFrame, id_col: str, text_col: str, min_words: i
     rows = rows.withColumn("end", F.sum("w").over(segment.orderBy("seq"))).withColumn("start", F.col("end") - F.col("w"))
     ahead, back = segment.orderBy("start").rangeBetween(0, min_words - 1), segment.orderBy("end").rangeBetween(1 - min_words, 0)
     size = lambda w: F.when(F.sum("w").over(w) >= min_words, F.count("*").over(w).cast("int"))
-    found = materialise(rows.withColumn("forward", size(ahead)).withColumn("backward", size(back)).select(*KEY, "seq", "forward", "backward", "r0"), "lines-repeated")
+    found = materialise(rows.withColumn("forward", size(ahead)).withColumn("backward", size(back)).select(*KEY, "seq", "segment", "forward", "backward", "r0"), "lines-repeated")
     free(lines, common)
     return found
 
 
+#: A document's repeated lines that follow one another.
+ALONG = [*KEY, "segment"]
+
+
 def doubled(rows: DataFrame, level: int) -> DataFrame:
-    """One round of prefix doubling: adds r(level + 1), the rank of the prefix of 2^(level + 1) lines, null if it occurs once."""
-    step, old, new = 2**level, f"r{level}", f"r{level + 1}"
-    there = F.first(old).over(Window.partitionBy(*KEY).orderBy("seq").rangeBetween(step, step))
+    """One round of prefix doubling: adds r(level + 1), the rank of the prefix of 2^(level + 1) lines among all suffixes."""
+    old, new = f"r{level}", f"r{level + 1}"
+    there = F.coalesce(F.lead(old, 2**level).over(Window.partitionBy(*ALONG).orderBy("seq")), F.lit(-1))
     given, rows = rows, materialise(rows.withColumn("there", there), "lines-pairs")
-    pairs = rows.where(f"{old} is not null and there is not null").groupBy(old, "there").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    order = ranked(pairs, old, "there")
-    out = materialise(rows.join(order.withColumnRenamed("rank", new), [old, "there"], "left").drop("there"), "lines-round")
+    order = ranked(rows.select(old, "there").distinct(), old, "there")
+    out = materialise(rows.join(order.withColumnRenamed("rank", new), [old, "there"]).drop("there"), "lines-round")
     free(given, rows, order)
     return out
 
 
+def common_prefix(x: Column, y: Column) -> Column:
+    """How many elements two arrays share from the beginning."""
+    differ = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False)
+    return F.when(differ == 0, F.least(F.size(x), F.size(y))).otherwise(differ - 1)
+
+
+def lcp_intervals(runs: DataFrame) -> DataFrame:
+    """(head, lines, top, first): to which first occurrence the runs (a suffix's ranks head and top, its lines, their ids) of each interval of two or more go back."""
+    suffixes = runs.groupBy("head", "lines", "top").agg(F.first("ids").alias("ids"), F.count("*").alias("n"), F.min(F.struct(*KEY, "seq")).alias("first"))
+    array = Window.partitionBy("head", "lines").orderBy("top")
+    shared = common_prefix(F.lag("ids").over(array), F.col("ids"))
+    suffixes = suffixes.withColumn("begins", F.coalesce(shared < F.col("lines"), F.lit(True)))
+    suffixes = suffixes.withColumn("interval", F.count_if("begins").over(array)).drop("ids", "begins")
+    whole = Window.partitionBy("head", "lines", "interval")
+    suffixes = suffixes.withColumn("all", F.sum("n").over(whole)).withColumn("first", F.min("first").over(whole))
+    return suffixes.where(F.col("all") > 1).select("head", "lines", "top", "first")
+
+
 def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """(KEY, gone): the worded lines, by number, of each document that later copies of repeated runs cover."""
     rows = repeated_positions(docs, id_col, text_col, min_words)
     longest = rows.agg(F.max(F.greatest("forward", "backward"))).first()[0] or 1
-    levels = longest.bit_length()
-    for level in range(levels - 1):
+    rounds = (longest - 1).bit_length()
+    for level in range(rounds):
         rows = doubled(rows, level)
     ahead = rows.where("forward is not null").select(*KEY, "seq", F.col("forward").alias("lines"))
     back = rows.where("backward is not null").select(*KEY, (F.col("seq") - F.col("backward") + 1).alias("seq"), F.col("backward").alias("lines"))
-    runs = ahead.unionByName(back).distinct()
-    #: A run's prefix of m lines is the ranked prefix of 2^l lines at its start and the one that ends where it ends.
-    level = F.length(F.bin("lines")) - 1
-    ranks = F.array(*[f"r{n}" for n in range(levels)])
-    at = rows.select(*KEY, "seq", ranks.alias("ranks"))
-    runs = runs.withColumn("level", level).withColumn("tail", F.expr("seq + lines - shiftleft(1, level)"))
-    runs = runs.join(at.withColumnRenamed("ranks", "a"), [*KEY, "seq"]).join(at.select(*KEY, F.col("seq").alias("tail"), F.col("ranks").alias("b")), [*KEY, "tail"])
-    runs = runs.select(*KEY, "seq", "lines", F.col("a")[F.col("level")].alias("a"), F.col("b")[F.col("level")].alias("b")).where("a is not null and b is not null")
+    ids = F.collect_list("r0").over(Window.partitionBy(*ALONG).orderBy("seq").rowsBetween(0, longest - 1))
+    at = rows.select(*KEY, "seq", ids.alias("ids"), F.array(*[f"r{n}" for n in range(rounds + 1)]).alias("ranks"))
+    runs = ahead.unionByName(back).distinct().join(at, [*KEY, "seq"])
+    head = F.get("ranks", F.length(F.bin("lines")) - 1)
+    runs = runs.select(*KEY, "seq", "lines", head.alias("head"), F.element_at("ranks", -1).alias("top"), F.slice("ids", F.lit(1), F.col("lines")).alias("ids"))
     runs = materialise(runs, "lines-runs")
-    place = F.struct(*KEY, "seq")
-    intervals = materialise(runs.groupBy("a", "b", "lines").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"), "lines-intervals")
-    copies = runs.join(intervals, ["a", "b", "lines"]).where(place != F.col("first"))
+    intervals = materialise(lcp_intervals(runs), "lines-intervals")
+    copies = runs.join(intervals, ["head", "lines", "top"]).where(F.struct(*KEY, "seq") != F.col("first"))
     gone = copies.groupBy(*KEY).agg(F.collect_set(F.struct("seq", "lines")).alias("runs"))
     covered = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["seq"], r["seq"] + r["lines"] - 1))))
     found = materialise(gone.select(*KEY, covered.alias("gone")), "lines-gone")
