@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from ..operators import brands as brand_ops
 from ..operators import detect, history, matching, matrix, scans, store
 from ..operators import ingest as ingestion
 from ..schemas import TABLES
-from ..session import shared_folder, written
+from ..session import fresh_folder, written
 from ..sources import files
 from ..streaming import flows
 from . import domain as d
@@ -73,7 +71,7 @@ def history_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same history from a stream of the events, with keyed state."""
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh_folder(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
@@ -244,7 +242,7 @@ def delete_unbranded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as CSV, read back as catalog rows, and imported."""
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "csv")
     odd = F.when(F.col("p_partkey") % 7 == 0, F.concat(F.col("p_name"), F.lit(', "new"'))).when(F.col("p_partkey") % 11 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), "p_name"))
     rows = d.source(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" ")).alias("brand"), odd.alias("name"), F.concat(F.col("p_size").cast("string"), F.lit(" ml")).alias("size"))
     rows.write.option("header", True).option("escape", '"').csv(path)
@@ -427,7 +425,7 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures written as files, one each by host and time, and read back."""
-    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "captures")
     shown = shop_captures(spark, sf_dir).where("captured_at = 1700000000").groupBy(urls.host_of(F.col("url")).alias("host")).agg(F.min_by(F.struct("url", "captured_at", "container", "products"), "url").alias("c")).select("c.*")
     files.write_captures(shown.withColumn("detected_cards", F.size("products").cast("long")).select("url", "captured_at", "container", "detected_cards", "products"), folder)
     back = files.read_captures(spark, folder).withColumn("file", F.regexp_extract(F.input_file_name(), "([^/]+/capture-[0-9]+[.]json)$", 1))

@@ -15,7 +15,6 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -39,11 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df written once in the shared folder and read back, so that several uses don't compute it again; removed when the session ends."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the session ends."""
     path = f"{shared_folder(spark)}/marktlens/{what}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df written once in the shared folder and read back, so that several uses don't compute it again."""
+    path = fresh_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

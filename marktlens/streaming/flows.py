@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.ingest import empty_store, ingest
 from ..schemas import CAPTURE
 
+#: State is kept on disk beside the executors, not on their heaps.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGE = "key string, price double, currency string, created timestamp, id long"
 
 
@@ -47,6 +49,7 @@ def price_changes(observed: DataFrame) -> DataFrame:
 
 def start(stream: DataFrame, folder: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
     """Start a stream: with every (as "2 seconds") it polls on until stopped, else it ends when all that is there is done."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     writer = stream.writeStream.option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
     return writer.foreachBatch(write).start() if write else writer.format("parquet").outputMode("append").start(folder)
