@@ -142,11 +142,11 @@ SQL = {
     "cascade_delete": over_domain("SELECT 'provider_products' AS table_name, count(*) AS n FROM provider_products WHERE product_id IS NOT NULL UNION ALL SELECT 'provider_product_prices', count(*) FROM prices WHERE provider_product_id NOT IN (SELECT id FROM provider_products WHERE product_id IS NULL)"),
     "import_brands": over_domain("SELECT id, name FROM brand UNION ALL SELECT substr(sha256(p_brand), 1, 15), p_brand FROM (SELECT DISTINCT trim(p_brand) AS p_brand FROM part) WHERE p_brand NOT IN (SELECT name FROM brand)"),
     "import_products": over_domain("SELECT DISTINCT brand, product_name, size, name, true AS active FROM products"),
-    "delta_dedup": "SELECT DISTINCT event_type || ' ' || user_id % 50 AS name, floor(value / 50)::BIGINT::VARCHAR AS price_text, floor(value / 50)::DOUBLE AS price, 'EUR' AS currency FROM events",
+    "delta_dedup": "SELECT DISTINCT event_type || ' ' || user_id % 50 AS name, floor(value / 50)::BIGINT::VARCHAR AS price_text, floor(value / 50)::DOUBLE AS price, CASE WHEN event_id % 3 > 0 THEN '/u' || event_id % 3 END AS url, ['ab', 'ab', 'c', 'bc', 'bc'][event_id % 5 + 1] AS images, CASE WHEN user_id % 2 = 0 THEN 'EUR' END AS currency FROM events",
     "ensure_providers": "WITH h AS (SELECT DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS domain FROM pages) SELECT s_suppkey::VARCHAR AS id, s_name AS domain FROM supplier UNION ALL SELECT substr(sha256(domain), 1, 15), domain FROM h WHERE domain <> '' AND domain NOT IN (SELECT s_name FROM supplier)",
     "normalize_name": "SELECT doc_id, md5(array_to_string(list_sort(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')), ' ')) AS digest FROM documents",
     "full_name": "SELECT p_partkey, concat_ws(' ', nullif(trim(p_brand), ''), nullif(trim(p_name), ''), CASE WHEN p_size % 2 = 0 THEN p_size || ' ml' END) AS name FROM part",
-    "strip_brand": "SELECT p_partkey, upper(concat_ws(' ', p_name, p_size::VARCHAR, 'ml')) AS name FROM part",
+    "strip_brand": r"SELECT 'd' || doc_id AS id, md5(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[eE][nN]', ' ', 'g'), '\s+', ' ', 'g'))) AS name FROM documents UNION ALL SELECT 'p' || p_partkey, trim(regexp_replace(regexp_replace(concat_ws(' ', upper(concat_ws(' ', p_brand, p_name, p_size::VARCHAR, 'ml')), p_brand), '(?i)' || p_brand, ' ', 'g'), ' +', ' ', 'g')) FROM part",
     "split_size": "SELECT p_partkey, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size || ' ml' END AS size FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, concat_ws(' ', p_brand, p_name), p_size || ' ml' FROM part WHERE p_partkey % 3 = 2",
     "find_size": "SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_size || ' ML' END AS size FROM part",
     "ascii_fold_products": over_domain("SELECT lower(brand) AS brand, lower(product_name) AS product_name, lower(size) AS size, lower(concat_ws(',', brand, product_name, size)) AS line FROM products"),
@@ -154,7 +154,9 @@ SQL = {
     "number_tokens": f"SELECT l_orderkey, l_linenumber, array_to_string(regexp_extract_all({MONEY}, '[0-9]+(?:[.,''][0-9]+)*'), '|') AS tokens FROM lineitem",
     "parse_price": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS price FROM lineitem",
     "classify_price_text": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_retailprice::DECIMAL(12,2)::DOUBLE WHEN 1 THEN p_size + 100 END::DOUBLE AS value, CASE p_partkey % 4 WHEN 0 THEN p_retailprice::DECIMAL(12,2)::VARCHAR WHEN 1 THEN (p_size + 100)::VARCHAR END AS token FROM part",
-    "detect_currency": f"SELECT p_partkey, CASE p_partkey % {len(SHOWN)} WHEN 0 THEN 'USD' WHEN 1 THEN 'ARS' WHEN 2 THEN 'EUR' WHEN 3 THEN 'BRL' WHEN 5 THEN 'ARS' WHEN 6 THEN 'USD' END AS currency FROM part",
+    "detect_currency": f"""SELECT doc_id, CASE WHEN contains(t, 'US$') OR contains(t, 'U$S') OR contains(t, 'USD') THEN 'USD' WHEN contains(t, 'AR$') OR contains(t, 'ARS') THEN 'ARS' WHEN contains(t, '€') OR contains(t, 'EUR') THEN 'EUR'
+        WHEN contains(t, '£') OR contains(t, 'GBP') THEN 'GBP' WHEN contains(t, 'R$') OR contains(t, 'BRL') THEN 'BRL' END AS currency
+        FROM (SELECT doc_id, upper(coalesce(text, '') || CASE WHEN doc_id % 3 > 0 THEN {list(SHOWN)}[doc_id % {len(SHOWN)} + 1] ELSE '' END) AS t FROM documents)""",
     "host_of": "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS host FROM pages",
     "extract_page": "SELECT page_id, try_cast(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS BIGINT) AS page, regexp_matches(url, '[?&]page=') AS has_page FROM pages",
     "next_page": "SELECT page_id, regexp_replace(regexp_replace(b, '[?&]page=[0-9]+', CASE WHEN contains(b, '&') THEN '?' ELSE '' END), '[?]&', '?') || CASE WHEN contains(regexp_replace(b, '[?]page=[0-9]+$', ''), '?') THEN '&' ELSE '?' END || 'page=' || coalesce(try_cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS BIGINT), 1) + 1 || coalesce(regexp_extract(url, '(#.*)$', 1), '') AS next_url FROM (SELECT page_id, url, regexp_replace(url, '#.*$', '') AS b FROM pages)",

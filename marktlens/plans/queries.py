@@ -266,9 +266,10 @@ def delta_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct products of a stream of cards; the order of images does not count."""
     e = d.source(spark, sf_dir, "events")
     name, value = F.concat_ws(" ", "event_type", (F.col("user_id") % 50).cast("string")), F.floor(F.col("value") / 50)
-    pictures = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("b"), F.lit("a")))
-    cards = e.select(name.alias("name"), value.cast("string").alias("price_text"), value.cast("double").alias("price"), F.lit(None).cast("string").alias("url"), pictures.alias("images"), F.lit("EUR").alias("currency"))
-    return store.delta(cards).select("name", "price_text", "price", "currency")
+    pictures = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in ("ab", "ba", "c", "cb", "bc")]), (F.col("event_id") % 5 + 1).cast("int"))
+    url = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("/u"), (F.col("event_id") % 3).cast("string")))
+    cards = e.select(name.alias("name"), value.cast("string").alias("price_text"), value.cast("double").alias("price"), url.alias("url"), pictures.alias("images"), F.when(F.col("user_id") % 2 == 0, "EUR").alias("currency"))
+    return store.delta(cards).select("name", "price_text", "price", "url", F.array_join(F.array_sort("images"), "").alias("images"), "currency")
 
 
 def ensure_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +294,9 @@ def full_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def strip_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return part_names(spark, sf_dir).select("p_partkey", names.strip_brand(F.upper("full"), F.col("p_brand")).alias("name"))
+    """Documents without a text that stands inside words in any case, and catalog names without their brand."""
+    docs = d.source(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.md5(names.strip_brand(F.coalesce("text", F.lit("")), F.lit("eN"))).alias("name"))
+    return docs.unionByName(part_names(spark, sf_dir).select(F.concat(F.lit("p"), "p_partkey").alias("id"), names.strip_brand(F.concat_ws(" ", F.upper("full"), "p_brand"), F.col("p_brand")).alias("name")))
 
 
 def split_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,12 +339,14 @@ def classify_price_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.source(spark, sf_dir, "part").select("p_partkey", F.get(found, F.lit(0))["value"].alias("value"), F.get(found, F.lit(0))["text"].alias("token"))
 
 
-SHOWN = ("US$ 12", "AR$ 12", "12 €", "R$ 12", "$ 12", "Mars 12", "£12 or usd 12")
+SHOWN = ("US$ 12", "AR$ 12", "12 €", "R$ 12", "$ 12", "Mars 12", "£12 or usd 12", "u$s 7, 8 eur", "BRL", "Eurasia")
 
 
 def detect_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = F.element_at(F.array(*map(F.lit, SHOWN)), (F.col("p_partkey") % len(SHOWN) + 1).cast("int"))
-    return d.source(spark, sf_dir, "part").select("p_partkey", money.detect_currency(shown).alias("currency"))
+    """Over documents with and without a price at their end."""
+    shown = F.element_at(F.array(*map(F.lit, SHOWN)), (F.col("doc_id") % len(SHOWN) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 > 0, shown).otherwise(""))
+    return d.source(spark, sf_dir, "documents").select("doc_id", money.detect_currency(text).alias("currency"))
 
 
 def host_of(spark: SparkSession, sf_dir: str) -> DataFrame:
