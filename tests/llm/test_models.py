@@ -331,6 +331,34 @@ def con():
     return found
 
 
+def simhash_by_hand(got, docs, con):
+    from .test_dedup import brute_components, brute_fingerprint
+
+    prints = {i: brute_fingerprint(t) for i, t in docs}
+    roots = brute_components(sorted(set(prints.values())), 4)
+    least = {}
+    for i in sorted(prints):
+        least.setdefault(roots[prints[i]], i)
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in got.itertuples()} == {i: (f"{p:016x}", least[roots[p]]) for i, p in prints.items()}
+
+
+def scores_by_hand(got, docs, con):
+    good = {r[0] for r in con.execute("SELECT doc_id FROM labels GROUP BY 1 HAVING bool_and(quality = 1 AND coalesce(toxic, 0) = 0)").fetchall()}
+    assert dict(zip(got.doc_id, got.score, strict=True)) == pytest.approx({i: s for (i, _), s in zip(docs, brute_scores(docs, good), strict=True)}, abs=2e-6, nan_ok=True)
+
+
+def quality_by_hand(got, docs, con):
+    from .test_rows import brute_counts
+
+    for r, (i, text) in zip(got.sort_values("doc_id").itertuples(), docs, strict=True):
+        counts = brute_counts(text)
+        assert (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (i, *counts)
+        assert r.base_failed == (counts[0] < 10 or 100 * counts[4] > 20 * counts[0]) and not (r.kept and r.base_failed)
+
+
+BY_HAND = {"op3_simhash": simhash_by_hand, "op5_lm_scores": scores_by_hand, "op7_quality_rules": quality_by_hand}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SMALL).toPandas()
@@ -342,6 +370,9 @@ def test_query(spark, con, name):
     else:
         table = "pages" if "page_id" in got else "documents"
         assert len(got) == con.execute(f"SELECT count(*) FROM {table}").fetchall()[0][0]
+        if name in BY_HAND:
+            docs = con.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+            BY_HAND[name](got, docs, con)
 
 
 def test_pipeline(spark, tmp_path):
