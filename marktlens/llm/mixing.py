@@ -56,11 +56,17 @@ def same(left: str, right: str, columns: list[str]) -> Column:
     return reduce(and_, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
 
 
-def with_numbers(rows: DataFrame) -> DataFrame:
-    """rows (SAME, part: the input partition, ...) with nth, from 0 among equal rows."""
+def repeated(rows: DataFrame) -> DataFrame:
+    """The hashes (key) of rows that occur more than once, and by chance of others: these are numbered, too."""
+    return materialise(rows.groupBy(F.xxhash64(*SAME).alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key"), "mix-often")
+
+
+def with_numbers(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """rows (SAME, part: the input partition, ...) with nth, from 0 among equal rows. often: what repeated() gives."""
     names = rows.columns
+    if often.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
     rows = rows.withColumn("key", F.xxhash64(*SAME))
-    often = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "mix-often")
     once = join_small(rows, often, "key", "left_anti").select(*names, F.lit(0).cast("long").alias("nth"))
     rows = join_small(rows, often, "key", "left_semi").select(*names)
     counts = rows.groupBy(*SAME, "part").agg(F.count("*").alias("n"))
@@ -121,7 +127,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     """
     size = n_words(F.col(text_col))
     drawn = [F.col(source_col).alias("source"), F.col(id_col).alias("id"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), size.alias("size"), F.length(F.bin(size)).alias("digits"), F.spark_partition_id().alias("part")]
-    sizes = materialise(with_numbers(docs.select(*drawn)).withColumn("u", random_bits(seed)).drop("part"), "mix-sizes")
+    texts = materialise(docs.select(*drawn), "mix-texts")
+    often = repeated(texts)
+    sizes = materialise(with_numbers(texts, often).withColumn("u", random_bits(seed)).drop("part"), "mix-sizes")
+    free(texts)
     targets = materialise(source_targets(sizes, weights, max_repeat), "mix-targets")
     groups = materialise(wanted_copies(sizes, targets, max_repeat, base), "mix-groups")
 
@@ -155,7 +164,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repea
     facts3 = materialise(targets.alias("t").join(facts3.alias("f"), same("t", "f", ["source"]), "left").select("t.*", *[f"f.{c}" for c in facts3.columns if c != "source"]), "mix-facts")
     free(first, facts, facts2)
 
-    rows = with_numbers(docs.select(*drawn, F.struct(*docs.columns).alias("row"))).withColumn("u", random_bits(seed)) if carry else sizes
+    rows = with_numbers(docs.select(*drawn, F.struct(*docs.columns).alias("row")), often).withColumn("u", random_bits(seed)) if carry else sizes
     one_more = F.coalesce((F.col("p") > 0) & (in_head | F.coalesce(F.col("place") == F.col("closes"), F.lit(False))), F.lit(False))
     copies = (F.coalesce("copies", F.lit(0)) + one_more.cast("long")).alias("copies")
     found = ranked(rows, facts3)
