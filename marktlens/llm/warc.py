@@ -181,6 +181,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumns({"sha": F.unhex(F.sha2("payload", 256)), "bytes": F.octet_length("payload")})
     held = rows.where(F.col("bytes") >= min_dedup_bytes).groupBy("sha").agg(F.max("id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    held = materialise(held, "warc-held")
     rows = join_small(rows, held, "sha", "left", row_bytes=56)
     refers = F.when((F.col("bytes") >= min_dedup_bytes) & ~F.col("id").eqNullSafe(F.col("response")), F.col("response"))
     rows = rows.select("id", "url", "payload", refers.alias("refers_to"))
