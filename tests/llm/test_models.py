@@ -403,9 +403,14 @@ def test_pipeline(spark, tmp_path):
                 group = {k: new if g == old else g for k, g in group.items()}
     assert sorted(near.doc_id) == sorted(set(group.values()))
     clean, bench = at["decontaminate"], spark.read.parquet(f"{SMALL}/benchmark.parquet").toPandas()
-    items = [" " + b" ".join(decontaminate.words_of(t)).decode() + " " for t in bench.text]
-    leaking = {r.doc_id for r in near.itertuples() if any(i in f" {b' '.join(decontaminate.words_of(r.text)).decode()} " for i in items)}
-    assert set(near.doc_id) - set(clean.doc_id) == leaking
+    plain = lambda x: re.findall(r"[^\W_]+", (x or "").lower())
+    items = [plain(t) for t in bench.text]
+    texts = {r.doc_id: plain(r.text) for r in near.itertuples()}
+    leaking = {i for i, ws in texts.items() if any(f" {' '.join(x)} " in f" {' '.join(ws)} " for x in items)}
+    dropped = set(near.doc_id) - set(clean.doc_id)
+    assert leaking <= dropped and set(clean.doc_id) <= set(near.doc_id)
+    for i in dropped - leaking:  # what is not verbatim holds most words of some item
+        assert any(len(set(x) & set(texts[i])) >= 0.6 * len(set(x)) for x in items), i
     mix = at["source_mix"]
     assert set(mix.doc_id) <= set(clean.doc_id) and mix["copy"].max() <= 3
 
