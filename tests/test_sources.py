@@ -80,7 +80,7 @@ def test_ingest_stream(spark, tmp_path):
     polled = flows.start(flows.product_stream(flows.capture_stream(spark, folder)), str(tmp_path / "out"), str(tmp_path / "state2"), every="1 second")
     polled.processAllAvailable()
     polled.stop()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
 def test_price_stream_over_batches(spark, tmp_path):
