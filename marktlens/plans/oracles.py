@@ -54,17 +54,23 @@ MONEY = "'AR$ ' || l_extendedprice::DECIMAL(12,2) || ' x' || l_quantity::INTEGER
 CONFLICTS = """
 conflicts AS (SELECT n_regionkey::VARCHAR AS provider_id, n_name AS provider_product_id, p_brand AS product_id, count(*) % 5 / 10 + 0.5 AS score
   FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY ALL)"""
-#: Each provider's edges one after the other, with what is claimed so far.
-GREEDY = f"""WITH RECURSIVE {CONFLICTS},
-e AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY score DESC, provider_product_id, product_id) AS nth FROM conflicts WHERE score >= 0.6),
+#: Of edges e, numbered from the best within each provider: one after the other, with what is claimed so far.
+CLAIMS = """
 w AS (
   SELECT provider_id, nth, provider_product_id, product_id, score, true AS won, [provider_product_id] AS ls, [product_id] AS ps FROM e WHERE nth = 1
   UNION ALL
   SELECT e.provider_id, e.nth, e.provider_product_id, e.product_id, e.score, NOT list_contains(ls, e.provider_product_id) AND NOT list_contains(ps, e.product_id),
          CASE WHEN list_contains(ls, e.provider_product_id) OR list_contains(ps, e.product_id) THEN ls ELSE list_append(ls, e.provider_product_id) END,
          CASE WHEN list_contains(ls, e.provider_product_id) OR list_contains(ps, e.product_id) THEN ps ELSE list_append(ps, e.product_id) END
-  FROM w JOIN e ON e.provider_id = w.provider_id AND e.nth = w.nth + 1)
-SELECT provider_id, provider_product_id, product_id, score FROM w WHERE won"""
+  FROM w JOIN e ON e.provider_id = w.provider_id AND e.nth = w.nth + 1)"""
+GREEDY = f"""WITH RECURSIVE {CONFLICTS},
+e AS (SELECT *, row_number() OVER (PARTITION BY provider_id ORDER BY score DESC, provider_product_id, product_id) AS nth FROM conflicts WHERE score >= 0.6),
+{CLAIMS} SELECT provider_id, provider_product_id, product_id, score FROM w WHERE won"""
+FRESH = f"SELECT listed.id AS provider_product_id, p.id AS product_id, score FROM pairs JOIN listed ON listed.c = pairs.a JOIN products p ON p.active AND {COMPACT.format('p.name')} = pairs.b WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.provider_product_id = listed.id AND s.product_id = p.id)"
+MATCHED = f"""WITH RECURSIVE {DOMAIN.strip()}, {GRAMS.strip()}, {STORED}, {LISTED}, fresh AS ({FRESH}),
+every AS (SELECT substr(provider_product_id, 3)::BIGINT % 20 AS shop, * FROM (SELECT * FROM fresh UNION ALL SELECT provider_product_id, product_id, score::DOUBLE FROM stored WHERE score >= 0.6)),
+e AS MATERIALIZED (SELECT shop::VARCHAR AS provider_id, provider_product_id, product_id, score, row_number() OVER (PARTITION BY shop ORDER BY score DESC, provider_product_id, product_id) AS nth FROM every),
+{CLAIMS}"""
 
 SQL = {
     "price_matrix": over_domain("SELECT k.product_id, p.name, k.provider_id, k.price, k.n_providers FROM kept k JOIN products p ON p.id = k.product_id"),
@@ -99,10 +105,9 @@ SQL = {
              WHERE lower(concat_ws(' ', nullif(brand, ''), product_name, size)) NOT IN (SELECT lower(name) FROM products WHERE active)) WHERE nth = 1"""
     ),
     "dice_similarity_join": over_domain("SELECT a, b, round(score, 6) AS score FROM pairs", GRAMS),
-    "stored_pair_skip": over_domain(
-        f"SELECT listed.id AS provider_product_id, p.id AS product_id, round(score, 6) AS score FROM pairs JOIN listed ON listed.c = pairs.a JOIN products p ON p.active AND {COMPACT.format('p.name')} = pairs.b WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.provider_product_id = listed.id AND s.product_id = p.id)",
-        f"{GRAMS}, {STORED}, {LISTED}",
-    ),
+    "stored_pair_skip": over_domain(f"SELECT provider_product_id, product_id, round(score, 6) AS score FROM ({FRESH})", f"{GRAMS}, {STORED}, {LISTED}"),
+    "greedy_assignment": f"{MATCHED} SELECT provider_id, provider_product_id, product_id, round(score, 6) AS score FROM w WHERE won",
+    "match_products_summary": f"{MATCHED} SELECT (SELECT count(*) FROM fresh) AS n_computed, (SELECT count(*) FROM stored) AS n_stored, (SELECT count(*) FROM listed) AS n_listings, (SELECT count(*) FROM w WHERE won) AS n_matched",
     "matrix_json": over_domain("SELECT product_id, '{\"product_id\":\"' || product_id || '\",\"name\":\"' || p.name || '\",\"prices\":[' || string_agg('{\"provider_id\":\"' || provider_id || '\",\"price\":' || price::VARCHAR || '}', ',' ORDER BY provider_id) || ']}' AS json FROM kept JOIN products p ON p.id = product_id GROUP BY product_id, p.name"),
     "greedy_conflicts": GREEDY,
     "greedy_rounds": GREEDY,
