@@ -49,6 +49,8 @@ from .words import batches_of, mixed, word_hashes
 
 #: The lowest bit of a key tells bigrams from words.
 BIGRAM = np.uint64(1)
+#: So many tokens of a chunk are scored at a time.
+PART_TOKENS = 1 << 18
 CHUNK = "chunk long, ids array<{kind}>, marks binary, sizes binary, codes binary, words binary, tokens long, good_tokens long"
 ASKED = "bucket int, chunk long, asked binary, stated binary, n_words int"
 
@@ -153,9 +155,13 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(mine[: len(steps)])
             good.append(mine[len(steps) :])
             chunks.append(chunk)
-        names, place = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.stack([np.bincount(place, np.concatenate(x), len(names)) for x in (n, good)]).astype(np.uint64)[:, place]
         bounds = np.cumsum([0, *map(len, n)])
+        names, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        totals = np.empty((2, len(place)), np.uint64)
+        for i, x in enumerate((n, good)):
+            totals[i] = np.bincount(place, np.concatenate(x), len(names)).astype(np.uint64)[place]
+            x.clear()
         found = [squeezed(totals[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         distinct = [int((names & BIGRAM == 0).sum())] + [0] * (len(chunks) - 1)
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), pa.array([now] * len(chunks), pa.int32()), pa.array(found, pa.binary()), pa.array(distinct, pa.int64())], ["chunk", "bucket", "totals", "distinct"])
@@ -177,27 +183,46 @@ def score_chunks(batches: Iterator[pa.RecordBatch], buckets: int, wholes: tuple[
     whole = np.array(wholes, np.float64)[:, None]
     chunk, answers, now = None, [], None
 
+    def totals_of(n_words: np.ndarray, n_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The totals of the chunk's words and of its bigrams, filled in a bucket at a time."""
+        out, at = [np.empty((2, n), np.uint64) for n in (int(n_words.sum()), n_pairs)], [0, 0]
+        for b, raw in answers:
+            t = restored(raw, np.uint64).reshape(2, -1)
+            for i, part in enumerate((t[:, : n_words[b]], t[:, n_words[b] :])):
+                if at[i] + part.shape[1] > out[i].shape[1]:
+                    raise ValueError("a chunk has strange answers")
+                out[i][:, at[i] : at[i] + part.shape[1]] = part
+                at[i] += part.shape[1]
+        if at != [x.shape[1] for x in out]:
+            raise ValueError("a chunk lacks answers")
+        answers.clear()
+        return out[0], out[1]
+
     def out() -> pa.RecordBatch:
         ids, size, codes, words = chunk[0], restored(chunk[1], np.uint32).astype(np.int64), restored(chunk[2], np.uint32), np.cumsum(restored(chunk[3], np.uint64), dtype=np.uint64)
-        at, keys = bigram_keys(words[codes], size)
-        names, place = np.unique(keys, return_inverse=True)
-        n_words = np.diff(np.r_[0, np.searchsorted(words, edges), len(words)])
-        parts = [(b, restored(raw, np.uint64).reshape(2, -1)) for b, raw in answers]
-        of_word = np.concatenate([t[:, : n_words[b]] for b, t in parts] or [np.zeros((2, 0))], axis=1).astype(np.float64)
-        of_pair = np.concatenate([t[:, n_words[b] :] for b, t in parts] or [np.zeros((2, 0))], axis=1).astype(np.float64)
-        if (of_word.shape[1], of_pair.shape[1]) != (len(words), len(names)):
-            raise ValueError("a chunk lacks answers")
-        shares = (of_word + 1) / whole
-        gain = np.log(shares[1] / shares[0])[codes]
-        up = of_pair[:, place] + mu * shares[:, codes[at]]
-        down = of_word[:, codes[at - 1]] + mu
-        gain[at] = np.log(up[1] * down[0] / (up[0] * down[1]))
-        sums = np.bincount(np.repeat(np.arange(len(size)), size), gain, len(size))
+        names = np.unique(bigram_keys(words[codes], size)[1])
+        of_word, of_pair = totals_of(np.diff(np.r_[0, np.searchsorted(words, edges), len(words)]), len(names))
+        shares = (of_word + 1.0) / whole
+        alone = np.log(shares[1] / shares[0])
+        #: Whole documents, some most tokens at a time, so that few numbers a token are held at once.
+        ends, sums, begin = np.cumsum(size), np.zeros(len(size)), 0
+        while begin < len(size):
+            first = int(ends[begin] - size[begin])
+            upto = max(int(np.searchsorted(ends, first + PART_TOKENS, side="right")), begin + 1)
+            some, mine = size[begin:upto], codes[first : int(ends[upto - 1])]
+            at, keys = bigram_keys(words[mine], some)
+            gain = alone[mine]
+            asked, place = np.unique(keys, return_inverse=True)  # looked up in order, which is many times as fast
+            up = of_pair[:, np.searchsorted(names, asked)[place]] + mu * shares[:, mine[at]]
+            down = of_word[:, mine[at - 1]] + mu
+            gain[at] = np.log(up[1] * down[0] / (up[0] * down[1]))
+            sums[begin:upto] = np.bincount(np.repeat(np.arange(len(some)), some), gain, len(some))
+            begin = upto
         none = (size == 0) | (whole[1, 0] < 0)
         return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(sums / np.maximum(size, 1), mask=none)], ["id", "n_tokens", "score"])
 
     for batch in batches:
-        for i, (number, bucket, totals) in enumerate(zip(*(batch[c].to_pylist() for c in ("chunk", "bucket", "totals")), strict=True)):
+        for i, (number, bucket) in enumerate(zip(batch["chunk"].to_pylist(), batch["bucket"].to_pylist(), strict=True)):
             if number != now and now is not None:
                 yield out()
                 answers = []
@@ -205,7 +230,7 @@ def score_chunks(batches: Iterator[pa.RecordBatch], buckets: int, wholes: tuple[
             if bucket < 0:
                 chunk = (batch["ids"][i].values, *(batch[c][i].as_py() for c in ("sizes", "codes", "words")))
             else:
-                answers.append((bucket, totals))
+                answers.append((bucket, batch["totals"][i].as_py()))
     if now is not None:
         yield out()
 

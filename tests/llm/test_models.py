@@ -4,12 +4,15 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 from functools import partial
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,3 +428,32 @@ def test_pipeline_of_odd_tables(spark):
             assert frame.columns == [c.split()[0] for c in schema.split(", ")], name
         assert frame.count() == len(rows)
     assert corpus_pipeline.language_stage(spark, spark.createDataFrame([], schema), SMALL).count() == 0
+
+
+def test_lm_scoring_holds_few_numbers_a_token(monkeypatch):
+    """A chunk of a million tokens, nearly all of its bigrams distinct, is scored in bounded memory, by parts."""
+    monkeypatch.setattr(cross_entropy, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng, n = np.random.default_rng(3), 1_000_000
+    words = [b"w%d" % i for i in range(20_000)]
+    texts = [b" ".join(words[i] for i in part) for part in np.split(rng.integers(0, len(words), n), 500)]
+    texts[3:3] = [b"", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(502)), pa.array([i % 2 == 0 for i in range(502)]), pa.array(texts, pa.binary())], ["id", "good", "raw"])
+    chunks = list(cross_entropy.cut_chunks(iter([batch]), 2 * n))
+    answers = pa.Table.from_batches(cross_entropy.answer(iter([b for b in pa.Table.from_batches(cross_entropy.ask(iter(chunks), 4)).sort_by("bucket").to_batches()]))).to_pylist()
+    vocabulary, good = sum(a["distinct"] for a in answers) + 1, chunks[0]["good_tokens"][0].as_py()
+    own = {c: chunks[0][c][0].as_py() for c in ("chunk", "ids", "sizes", "codes", "words")} | {"bucket": -1, "totals": None}
+    rows = [own, *({"chunk": a["chunk"], "bucket": a["bucket"], "totals": a["totals"], "ids": None, "sizes": None, "codes": None, "words": None} for a in answers)]
+    kinds = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("sizes", "codes", "words", "totals"))])
+    both = pa.RecordBatch.from_pylist(rows, kinds)
+    found = {}
+    for size in (1 << 18, 1 << 30):
+        monkeypatch.setattr(cross_entropy, "PART_TOKENS", size, raising=False)
+        tracemalloc.start()
+        (out,) = cross_entropy.score_chunks(iter([both]), 4, (n + vocabulary, good + vocabulary), 100.0)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        found[size] = out.to_pydict()
+        if size == 1 << 18:
+            assert peak < 80 * n
+    a, b = found.values()
+    assert a["n_tokens"] == b["n_tokens"] and a["score"] == pytest.approx(b["score"], abs=1e-12) and a["score"][3:5] == [None, None]
