@@ -30,9 +30,13 @@ def row_key() -> Column:
 
 
 def by_key(docs: DataFrame, key: Column, names: DataFrame, how: str) -> DataFrame:
-    """The rows of docs whose key is (left_semi) or is not (left_anti) among names (one column)."""
+    """The rows of docs whose key is (left_semi) or is not (left_anti) among names (one column).
+
+    A broadcast name takes some 160 bytes of the driver: itself, its place in
+    the hash table, and its copies while it is collected and sent.
+    """
     at = unused("__key", docs.columns)
-    return join_small(docs.withColumn(at, key), names.toDF(at).distinct(), at, how, row_bytes=48).select(*docs.columns)
+    return join_small(docs.withColumn(at, key), names.toDF(at).distinct(), at, how, row_bytes=160).select(*docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +60,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest", "name"))
     kept = rows.groupBy("group").agg(first.alias("first"), F.count("*").alias("n")).select("first.name", "n")
     kept = materialise(kept, "stage-near")
-    left = by_key(docs, row_key(), kept.select("name"), "left_semi")
+    #: Of most groups one text is all, so those that go are fewer than those that stay.
+    gone = materialise(rows.select("name").distinct().join(kept, "name", "left_anti"), "stage-near-gone")
+    left = by_key(docs, row_key(), gone, "left_anti")
     #: Rows equal in id and text: the first by all columns stays.
     names = rows.groupBy("name").agg(F.count("*").alias("times")).where("times > 1").select("name")
     often = materialise(names.join(kept, "name", "left_semi"), "stage-near-often")

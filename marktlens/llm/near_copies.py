@@ -164,7 +164,7 @@ def links_in_runs(batches: Iterator[pa.RecordBatch], k: int, far: int, least: fl
 
 def meet(rows: DataFrame, key: str, data: DataFrame, block: int, **how) -> DataFrame:
     """(a, b): links between the nodes of rows (key, node) that share a key; data holds a node's columns."""
-    rows = in_blocks(rows, key, "node", block).join(data, "node").select("g", "node", *[c for c in data.columns if c != "node"])
+    rows = in_blocks(rows, key, "node", block).join(data.hint("merge"), "node").select("g", "node", *[c for c in data.columns if c != "node"])
     return rows.repartition("g").sortWithinPartitions("g").mapInArrow(partial(links_in_runs, **how), "a long, b long").distinct()
 
 
@@ -182,7 +182,7 @@ def near_copies(docs: DataFrame, text_col: str = "text", words: int = 5, least:
     maybe = materialise(components(meet(probes, "key", points, block, **how)), "near-maybe")
     some = nodes.select("node", "digest").join(maybe.select("node"), "node", "left_semi")
     #: The texts of those few again, one of each.
-    again = join_small(texts, some.select("digest"), "digest", "left_semi", row_bytes=32).groupBy("digest").agg(F.first("raw").alias("raw"))
+    again = join_small(texts, some.select("digest"), "digest", "left_semi", row_bytes=144).groupBy("digest").agg(F.first("raw").alias("raw"))
     sets = again.select("digest", "raw").mapInArrow(partial(sets_of, words=words), "digest binary, hashes binary").join(some, "digest")
     sets = materialise(sets.select("node", "hashes"), "near-sets")
     links = meet(maybe.select("root", "node"), "root", points.join(sets, "node"), max(2, block // 4), **how)

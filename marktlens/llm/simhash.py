@@ -197,10 +197,12 @@ def in_blocks(rows: DataFrame, key: str, of: str, block: int) -> DataFrame:
     """(g, of): rows (key, of) dealt so that all rows of a key meet in some g.
 
     Buckets of one need no look; large ones are cut into blocks by a hash and
-    every pair of blocks meets, so no g has more than two blocks.
+    every pair of blocks meets, so no g has more than two blocks. Spark takes
+    exploded rows for as many as there were before, so it would broadcast
+    millions of keys: the join is by shuffle, whatever it expects.
     """
     full = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = rows.join(full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), key)
+    rows = rows.join(full.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n").hint("merge"), key)
     mine = F.pmod(F.xxhash64(F.lit("block"), of), F.col("blocks")).cast("int")
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("mine")))
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(others))

@@ -202,3 +202,14 @@ def test_stage_drops_near_copies_far_in_bits(spark):
     a, b = five_words(texts[1]), five_words(texts[177])
     assert 5 * len(a & b) >= 4 * len(a | b) and (brute_fingerprint(texts[1]) ^ brute_fingerprint(texts[177])).bit_count() > 4
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, None).collect()) == [1, 5]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """Spark estimates exploded signatures as small as the rows they come from; a broadcast of them exhausts the driver."""
+    points = spark.range(100).select(F.col("id").alias("node"), *[F.col("id").alias(c) for c in ("fp", "w1", "w2")])
+    probes = points.select("node", F.explode(F.sequence(F.lit(0), F.lit(50))).alias("key"))
+    dealt = simhash.in_blocks(probes, "key", "node", 64)
+    links = near_copies.meet(probes, "key", points, 64, k=8, far=28, least=0.8)
+    for found in (dealt, links):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert dealt.select("node").distinct().count() == 100
