@@ -105,6 +105,19 @@ def test_similar_names_against_all_pairs(spark):
     assert got == pytest.approx(want) and len(want) > 20
 
 
+@pytest.mark.parametrize("dense,block", [(0, 1), (10**9, 2048), (10**9, 7)])
+def test_similar_names_either_way(spark, dense, block):
+    """By the index and by blocks: the same pairs and scores, names of no, one and repeated bigrams, letters of two bytes and nulls among them."""
+    rng = random.Random(8)
+    letters = ["ab", "aa", "ö", "bc", "1", "ab", "aaaa"]
+    left, right = (sorted({"".join(rng.choices(letters, k=rng.randint(0, 6))) for _ in range(70)} | {"", "x", "öö"}) + [None] for _ in range(2))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "c string")
+    got = [(r.a, r.b, r.score) for r in matching.similar_names(frame(left), frame(right), dense=dense, block=block).collect()]
+    pairs = frame(left).select(F.col("c").alias("a")).crossJoin(frame(right).select(F.col("c").alias("b")))
+    want = {(r.a, r.b): r.s for r in pairs.withColumn("s", names.dice(F.col("a"), F.col("b"))).where("s >= 0.6").collect()}
+    assert len(got) == len(want) > 100 and {(a, b): s for a, b, s in got} == want
+
+
 def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
