@@ -118,6 +118,26 @@ def test_similar_names_either_way(spark, dense, block):
     assert len(got) == len(want) > 100 and {(a, b): s for a, b, s in got} == want
 
 
+def test_matches_by_name_equal_greedy(spark):
+    """Many listings and products of one name, ties, stored pairs above, at and below the threshold, inactive and unknown ones."""
+    rng = random.Random(12)
+    label = lambda: " ".join(rng.choices(["oak", "oaks", "elm", "elms", "fir"], k=2))
+    goods = [(f"p{i:02d}", label(), "", i % 6 != 5) for i in range(40)]
+    ls = [(f"l{i:02d}", rng.choice("AB"), label() if i else None, None, None) for i in range(45)]
+    kept = {(rng.choice(ls)[0], rng.choice(goods)[0]): rng.choice([0.2, 0.6, 0.8, 1.0]) for _ in range(60)} | {("l00", "p01"): 0.9, ("gone", "p01"): 1.0, ("l03", "gone"): 0.7}
+    stored = spark.createDataFrame([("m", *k, v, "s") for k, v in kept.items()], "id string, provider_product_id string, product_id string, score double, status string")
+    ps, frame = products(spark, goods), listings(spark, ls)
+    new = matching.candidates(frame, ps, stored)
+    every = [tuple(r) for r in matching.with_provider(new.unionByName(scans.above_threshold(stored)), frame).collect()]
+    found = matching.Matches(frame, ps, stored)
+    assert found.computed().first()[0] == new.count() > 200
+    for most in (10**6, 1):
+        got = found.winners(most)
+        assert rows(got, "provider_id", "provider_product_id", "product_id") == greedily(every)
+        scores = {(b, c): s for _, b, c, s in every}
+        assert all(r.score == scores[r.provider_product_id, r.product_id] for r in got.collect())
+
+
 def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
