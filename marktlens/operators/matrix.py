@@ -54,13 +54,22 @@ def columns(providers: DataFrame, kept: DataFrame) -> DataFrame:
 def csv_lines(kept: DataFrame, order: DataFrame) -> DataFrame:
     """(product_id, name, line): a line of the matrix's CSV for each row; blank cells for missing prices.
 
-    order: what columns() returns; one row of it, as wide as the file's header
-    line, is joined to every line.
+    order: what columns() returns. A price finds its column by a join; a line
+    is its prices in order of column and as many commas before each as columns
+    were passed, so a wide matrix costs little more than its bytes. Only then
+    are there long lines, which nothing shuffles any more.
     """
-    wide = order.agg(F.array_sort(F.collect_list(F.struct("position", "provider_id"))).alias("wide"))
-    cell = F.transform("wide", lambda c: F.coalesce(display(F.try_element_at("prices", c["provider_id"])), F.lit("")))
+    place = order.select("provider_id", "position")
+    cells = kept.select("product_id", F.explode("prices").alias("provider_id", "price")).distinct().join(place, "provider_id")
+    cells = cells.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce(display(F.col("price")), F.lit("")).alias("text")))).alias("cells"))
+    rows = kept.select("product_id", "name").join(cells, "product_id", "left").crossJoin(F.broadcast(order.agg(F.count("*").cast("int").alias("width"))))
+    before = lambda i: F.when(i > 0, F.get("cells", i - 1)["position"]).otherwise(F.lit(0))
+    pieces = F.transform("cells", lambda c, i: F.concat(F.repeat(F.lit(","), c["position"] - before(i)), c["text"]))
+    last = F.coalesce(F.element_at("cells", -1)["position"], F.lit(0))
     quoted = F.when(F.col("name").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("name", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("name"))
-    return kept.crossJoin(wide).select("product_id", "name", F.concat_ws(",", quoted, F.array_join(cell, ",")).alias("line"))
+    parts = F.concat(F.array(quoted), F.coalesce(pieces, F.array().cast("array<string>")), F.array(F.repeat(F.lit(","), F.col("width") - last)))
+    line = F.array_join(parts, "")
+    return rows.select("product_id", "name", F.when(F.col("name").isNull(), F.substr(line, F.lit(2))).otherwise(line).alias("line"))
 
 
 def json_lines(kept: DataFrame) -> DataFrame:

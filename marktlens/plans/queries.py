@@ -12,7 +12,7 @@ from ..operators import brands as brand_ops
 from ..operators import detect, history, matching, matrix, scans, store
 from ..operators import ingest as ingestion
 from ..schemas import TABLES
-from ..session import fresh_folder
+from ..session import fresh_folder, written
 from ..sources import files
 from ..streaming import flows
 from . import domain as d
@@ -41,7 +41,7 @@ def matrix_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def matrix_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix as lines of its CSV, in which order places the providers."""
-    rows = matrix_rows(spark, sf_dir)
+    rows = written(matrix_rows(spark, sf_dir), "matrix-rows")
     return matrix.csv_lines(rows, matrix.columns(d.providers(spark, sf_dir), rows)).select("product_id", "line")
 
 

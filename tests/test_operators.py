@@ -1,6 +1,8 @@
 """Operators on small tables."""
 
+import hashlib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,6 +57,22 @@ def test_matrix_against_dictionaries(spark):
     assert places == {(g, s): 1 + sum(w < v for (x, _), w in cell.items() if x == g) for (g, s), v in cell.items()}
 
 
+def test_wide_lines(spark):
+    """Lines of 30,000 columns, of which few have prices: at the ends, in the middle, at an unknown provider, null; quoted names."""
+    wide, n = 30_000, 2000
+    order = spark.range(1, wide + 1).select(F.concat(F.lit("s"), "id").alias("provider_id"), F.col("id").cast("int").alias("position"))
+    at = lambda i: {1: 5.0, wide: 1.5, 2 + i: None, **{100 * k + i: k / 4 for k in range(30, 50)}}
+    few = [("a", 'x "y"', {"gone": 1.0, "s3": 2.0}), ("b", "plain", {"gone": 1.0}), ("c", "last", {f"s{wide}": 7.25})]
+    kept = spark.createDataFrame([(f"g{i}", f"g {i}", {f"s{k}": v for k, v in at(i).items()}) for i in range(n)] + few, "product_id string, name string, prices map<string,double>")
+    began = time.perf_counter()
+    got = matrix.csv_lines(kept, order).select("product_id", F.md5("line").alias("line")).collect()
+    assert time.perf_counter() - began < 20
+    line = lambda name, cells: ",".join([name, *(cells.get(k, "") for k in range(1, wide + 1))])
+    want = {f"g{i}": line(f"g {i}", {k: "" if v is None else f"{v:g}" for k, v in at(i).items()}) for i in range(n)}
+    want |= {"a": line('"x ""y"""', {3: "2"}), "b": line("plain", {}), "c": line("last", {wide: "7.25"})}
+    assert {r.product_id: r.line for r in got} == {k: hashlib.md5(v.encode()).hexdigest() for k, v in want.items()}
+
+
 def test_history(spark):
     seen = spark.createDataFrame([("p", 1.0, "EUR", 1, 1), ("p", 1.0, "EUR", 2, 2), ("p", 2.0, "EUR", 3, 3), ("p", 2.0, None, 4, 4), ("p", 2.0, None, 5, 5), ("q", None, None, 1, 6)], "provider_product_id string, price double, currency string, created int, id int")
     assert rows(history.changes(seen), "id") == [(1,), (3,), (4,), (6,)]
