@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marktlens.llm import line_dedup, near_copies, simhash
+from marktlens.llm import common, graphs, line_dedup, near_copies, simhash
 from marktlens.llm.graphs import components
 
 DOCS = "doc_id long, text string"
@@ -139,6 +139,25 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 6: 1, 7: 1, 8: 8, 9: 8} | {100 + i: 100 for i in range(31)}
 
 
+def test_few_edges_are_written_twice_and_agree_with_rounds(spark, monkeypatch):
+    """The rounds write the edges again and again, at a dozen shuffles a time; few edges take one task."""
+    written, rng = [], random.Random(5)
+    monkeypatch.setattr(graphs, "materialise", lambda df, what: written.append(what) or common.materialise(df, what))
+    pairs = [(rng.randint(-300, 300), rng.randint(-300, 300)) for _ in range(280)] + [(2**62 + i, 2**62 + i + 1) for i in range(40)]
+    edges = spark.createDataFrame([*pairs, (-7, -7)], "a long, b long").repartition(5)
+    got = sorted(map(tuple, components(edges).collect()))
+    assert len(written) == 2
+    assert got == sorted(map(tuple, components(edges, few=0).collect()))
+    assert len(written) > 5
+    root = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in root:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert dict(got) == root
+    assert components(edges.limit(0)).count() == 0
+
+
 def five_words(text):
     words = (text or "").lower().split()
     return frozenset(" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
