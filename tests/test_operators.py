@@ -156,6 +156,35 @@ def test_matches_by_name_equal_greedy(spark):
         assert all(r.score == scores[r.provider_product_id, r.product_id] for r in got.collect())
 
 
+@pytest.mark.parametrize("most", [12, 60])
+def test_matches_in_bands(spark, monkeypatch, most):
+    """No provider gets more pairs of names at a time than it may, nor any of listings that have their product; the winners are those among all edges."""
+    rng = random.Random(33)
+    label = lambda: " ".join(rng.choices(["oak", "oaks", "elm", "elms", "fir", "firs", "ash", "yew"], k=3))
+    goods = [(f"p{i:02d}", label(), "", i % 6 != 5) for i in range(50)]
+    ls = [(f"l{i:02d}", rng.choice(["A", "B", None]), label() if i else None, None, None) for i in range(60)]
+    kept = {(rng.choice(ls)[0], rng.choice(goods)[0]): rng.choice([0.2, 0.6, 0.7, 0.8, 0.93, 1.0]) for _ in range(50)} | {("gone", "p01"): 1.0, ("l03", "gone"): 0.7}
+    stored = spark.createDataFrame([("m", *k, v, "s") for k, v in kept.items()], "id string, provider_product_id string, product_id string, score double, status string")
+    ps, frame = products(spark, goods), listings(spark, ls)
+    given, plain, handed = [], matching.Matches.band, set()
+
+    def band(self, free, stored_edges, won, of, big):
+        pairs = free.select("provider_id", "ia").distinct().join(self.pairs.where(of(matching.step("score"))), "ia")
+        given.append({r.provider_id: r["count"] for r in pairs.groupBy("provider_id").count().collect()})
+        given[-1] = {p: n for p, n in given[-1].items() if big is None or p not in {r[0] for r in big.collect()}}
+        assert not handed & {r.provider_product_id for r in free.collect()}
+        best = plain(self, free, stored_edges, won, of, big)
+        handed.update(r.provider_product_id for r in best.collect())
+        return best
+
+    monkeypatch.setattr(matching.Matches, "band", band)
+    new = matching.candidates(frame, ps, stored)
+    every = [(r[0] or "", *r[1:]) for r in matching.with_provider(new.unionByName(scans.above_threshold(stored)), frame).collect()]
+    got = {(r.provider_id or "", r.provider_product_id, r.product_id) for r in matching.Matches(frame, ps, stored).winners(most).collect()}
+    assert got == set(greedily(every)) and len(got) > 20
+    assert len(given) > 1 and max(max(g.values(), default=0) for g in given) <= most
+
+
 def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
