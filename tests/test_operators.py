@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 
 import pytest
@@ -185,6 +186,22 @@ def test_matches_in_bands(spark, monkeypatch, most):
     assert len(given) > 1 and max(max(g.values(), default=0) for g in given) <= most
 
 
+def test_computed_leaves_pairs_in_place(spark):
+    """Pairs of names are not dealt anew to count the edges, whatever Spark broadcasts by itself; repeated ids and stored rows count as in a join."""
+    ls = listings(spark, [("l1", "A", "oak elm", None, None), ("l1", "A", "oak elm", None, None), ("l2", "B", "elm oak", None, None), ("l3", "B", "fir", None, None)])
+    ps = products(spark, [("p1", "oak elm", "", True), ("p2", "oak elms", "", True), ("p2", "oak elms", "", True), ("p3", "oak elm", "", False)])
+    stored = spark.createDataFrame([("m1", "l1", "p2", 0.7, "s"), ("m2", "l1", "p2", 0.9, "s"), ("m3", "l3", "p1", 0.9, "s"), ("m4", "l2", "gone", 0.9, "s")], "id string, provider_product_id string, product_id string, score double, status string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = matching.Matches(ls, ps, stored).computed()
+        joined = re.findall(r"(\w+Join)\b.*\[i[ab]#", got._jdf.queryExecution().executedPlan().toString())
+        assert got.first()[0] == matching.candidates(ls, ps, stored).count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert joined and set(joined) == {"BroadcastHashJoin"}
+
+
 def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
