@@ -202,6 +202,29 @@ def test_computed_leaves_pairs_in_place(spark):
     assert joined and set(joined) == {"BroadcastHashJoin"}
 
 
+def test_edges_are_laid_out_from_lists(spark):
+    """Edges of repeated names and ids, null ids among them, less the stored ones; only pairs of names with stored edges are looked at edge by edge."""
+    rng = random.Random(41)
+    label = lambda: " ".join(rng.choices(["oak", "oaks", "elm", "elms", "fir"], k=2))
+    goods = [(None if i == 7 else f"p{i % 35:02d}", label(), "", i % 6 != 5) for i in range(40)]
+    ls = [(None if i == 9 else f"l{i % 41:02d}", "A", label() if i else None, None, None) for i in range(45)]
+    kept = {(rng.choice(ls)[0], rng.choice(goods)[0]) for _ in range(40)} | {("gone", "p01"), ("l03", None), (None, "p01")}
+    stored = spark.createDataFrame([("m", *k, 0.5, "s") for k in [*kept, *kept]], "id string, provider_product_id string, product_id string, score double, status string")
+    ps, frame = products(spark, goods), listings(spark, ls)
+    a, b = frame.select("id", names.compact(F.col("name")).alias("a")), ps.where("active").select(F.col("id").alias("p"), names.compact(F.col("name")).alias("b"))
+    want = [(r.id, r.p, round(r.s, 6)) for r in a.crossJoin(b).withColumn("s", names.dice(F.col("a"), F.col("b"))).where("s >= 0.6").collect()]
+    found = matching.candidates(frame, ps, stored, digits=6)
+    got = [tuple(r) for r in found.collect()]
+    order = lambda xs: sorted(map(str, xs))
+    assert order(got) == order(x for x in want if None in x[:2] or x[:2] not in kept) and len(want) > len(got) > 200 and any(None in x for x in got)
+    assert order(tuple(r) for r in matching.candidates(frame, ps, digits=6).collect()) == order(want)
+    plain = found._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Generate explode" in plain and "[i" in plain and "product_id#" not in "".join(x for x in plain.splitlines() if "LeftAnti" in x)
+    rows_ = spark.createDataFrame([(i % 3 // 2, str(i)) for i in range(60)] + [(0, None)], "ia long, x string")
+    lists = matching.in_lists(rows_, "ia", "x", most=10).collect()
+    assert sorted(map(str, ((r.ia, x) for r in lists for x in r.x))) == sorted(str(tuple(r)) for r in rows_.collect()) and len(lists) > 5
+
+
 def edges(spark, data):
     return spark.createDataFrame(data, matching.EDGES)
 
